@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import host_rules, line_index
+from . import host_rules, length_histogram, line_index, token_files
 
 
 def queries():
     return {
         "op6_line_dedup": line_index.op6_query,
+        "op7_length_histogram": length_histogram.op7_query,
         "op8_host_rules": host_rules.op8_query,
+        "op10_token_files": token_files.op10_query,
     }
 
 
