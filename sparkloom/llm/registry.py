@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import host_rules, length_histogram, line_index, token_files
+from . import host_rules, length_histogram, line_index, relative_lz, token_files
 
 
 def queries():
     return {
+        "op2_relative_lz": relative_lz.op2_query,
         "op6_line_dedup": line_index.op6_query,
         "op7_length_histogram": length_histogram.op7_query,
         "op8_host_rules": host_rules.op8_query,
@@ -15,4 +16,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_line_dedup": line_index.OP6_SQL, "op8_host_rules": host_rules.OP8_SQL}
+    return {"op2_relative_lz": relative_lz.OP2_SQL, "op6_line_dedup": line_index.OP6_SQL, "op8_host_rules": host_rules.OP8_SQL}
