@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import host_rules, length_histogram, line_index, ngram_join, relative_lz, token_files
+from . import decontaminate, host_rules, length_histogram, line_index, ngram_join, pii, relative_lz, token_files
 
 
 def queries():
     return {
+        "op1_contextual_pii": pii.op1_query,
         "op2_relative_lz": relative_lz.op2_query,
         "op4_ngram_join": ngram_join.op4_query,
+        "op5_template_leaks": decontaminate.op5_query,
         "op6_line_dedup": line_index.op6_query,
         "op7_length_histogram": length_histogram.op7_query,
         "op8_host_rules": host_rules.op8_query,
