@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, length_histogram, line_index, ngram_join, pii, relative_lz, token_files
+from . import decontaminate, host_rules, length_histogram, line_index, ngram_join, pii, quality, relative_lz, token_files
 
 
 def queries():
     return {
         "op1_contextual_pii": pii.op1_query,
         "op2_relative_lz": relative_lz.op2_query,
+        "op3_quality_discriminant": quality.op3_query,
         "op4_ngram_join": ngram_join.op4_query,
         "op5_template_leaks": decontaminate.op5_query,
         "op6_line_dedup": line_index.op6_query,
