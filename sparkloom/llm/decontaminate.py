@@ -193,6 +193,23 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _clean(shared):
+    def clean(batches):
+        items = Items(shared.value)
+        for batch in batches:
+            kept = [not items.hits(t or "") for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that no item contaminates, with all their columns."""
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 def op5_query(spark, sf_dir):
     """doc_id, contaminated, n_items, item_ids (ascending) and n_matched (words of the longest run)."""
     hits = benchmark_hits(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

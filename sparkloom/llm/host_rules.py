@@ -51,13 +51,15 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(words, windows), sort))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, host and the counts that the rules use, a row for each document."""
+def document_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, host and the counts that the rules use, a row for each document; whole: also all its columns as the struct document."""
+    also = ["document"] if whole else []
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), text.alias("text"))
-    out = out.select("doc_id", "host", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), text.alias("text"), *([F.struct(*docs.columns).alias("document")] if whole else []))
+    out = out.select(*also, "doc_id", "host", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     return out.select(
+        *also,
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
@@ -99,9 +101,9 @@ def host_verdicts(stats: DataFrame, threshold: float = 0.5) -> DataFrame:
     return hosts.join(F.broadcast(prior)).withColumn("failure_rate", shrunk).withColumn("host_rejected", F.col("failure_rate") > threshold).drop("a", "b")
 
 
-def apply_host_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def apply_host_rules(docs: DataFrame, threshold: float = 0.5, whole: bool = False) -> DataFrame:
     """Statistics of each document, base_failed, its host's failure rate and verdict, and kept."""
-    stats = stash(document_statistics(docs), "rules")
+    stats = stash(document_statistics(docs, whole), "rules")
     hosts = stash(host_verdicts(stats, threshold), "hosts").select("host", "failure_rate", "host_rejected")
     if hosts.count() <= BROADCAST_HOSTS:
         joined = stats.join(F.broadcast(hosts), "host")
@@ -112,6 +114,11 @@ def apply_host_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def keep_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return apply_host_rules(docs, threshold, whole=True).where("kept").select("document.*")
+
+
 def op8_query(spark, sf_dir):
     from .common import load
 

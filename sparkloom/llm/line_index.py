@@ -209,16 +209,30 @@ class LineIndex:
         """A row for each document: doc_id, n_lines, n_dropped, kept_text."""
         frequent = self.frequent()
         if frequent.count() <= broadcast_keys:
-            keys = {bytes(r.key) for r in frequent.toLocalIterator()}
-            blobs = {r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()}
-            shared = self.spark.sparkContext.broadcast((keys, blobs))
-            return texts(docs).mapInArrow(_pruner(shared, self.shards), RESULT)
-        rows = texts(docs).withColumn("mark", text_key())
-        gone = rows.mapInArrow(_document_keys, "doc_id long, mark long, key binary").join(frequent, "key", "left_semi")
+            return texts(docs).mapInArrow(_pruner(self._shared()), RESULT)
+        return self._listed(texts(docs)).mapInArrow(_prune_listed, RESULT)
+
+    def rewrite(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+        """The documents with all their columns, text without the lines that go; a null text stays null."""
+        if self.frequent().count() <= broadcast_keys:
+            return docs.mapInArrow(_rewriter(self._shared()), docs.schema)
+        rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
+        listed = self._listed(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+        pruned = listed.mapInArrow(_rewrite_listed(docs.schema.names), docs.schema)
+        return pruned
+
+    def _shared(self):
+        keys = {bytes(r.key) for r in self.frequent().toLocalIterator()}
+        blobs = {r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()}
+        return self.spark.sparkContext.broadcast((keys, blobs))
+
+    def _listed(self, rows: DataFrame) -> DataFrame:
+        """The rows with the keys of theirs that go, by shuffles."""
+        rows = rows.withColumn("mark", text_key())
+        gone = rows.select("doc_id", "mark", "text").mapInArrow(_document_keys, "doc_id long, mark long, key binary").join(self.frequent(), "key", "left_semi")
         gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("key").alias("gone"))
         same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["mark"] == gone["mark"])
-        joined = rows.join(gone, same, "left").select(rows["doc_id"], "text", "gone")
-        return joined.mapInArrow(_prune_listed, RESULT)
+        return rows.join(gone, same, "left").select(*[rows[c] for c in rows.columns if c != "mark"], "gone")
 
 
 def _fill():
@@ -247,16 +261,55 @@ def _edit(filters: pa.Table, crossing: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([made.dump()], pa.binary())})
 
 
-def _pruner(shared, shards: int):
+def _checker(shared):
+    """Tells of a list of keys which are frequent: the filters' yes is checked against the exact keys."""
+    exact, blobs = shared.value
+    filters = [CuckooFilter.load(b) for b in blobs.values()]
+
+    def frequent(digests):
+        halves = CuckooFilter.parts(digests)
+        maybe = np.zeros(len(digests), bool)
+        for f in filters:
+            maybe |= f.contains(halves)
+        return [y and d in exact for d, y in zip(digests, maybe.tolist(), strict=True)]
+
+    return frequent
+
+
+def _with_text(batch, columns, texts_now):
+    """The named columns of a batch, with other texts (None: null)."""
+    arrays = [pa.array(texts_now, pa.string()) if c == "text" else batch.column(c) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+def _rewriter(shared):
+    def rewrite(batches):
+        frequent = _checker(shared)
+        for batch in batches:
+            now = [None if t is None else b"\n".join(_prune(t, frequent)[1]).decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            yield _with_text(batch, batch.schema.names, now)
+
+    return rewrite
+
+
+def _rewrite_listed(names):
+    def rewrite(batches):
+        for batch in batches:
+            now = []
+            whole = batch.column("document")
+            was = whole.field("text").to_pylist()
+            for text, gone in zip(was, batch.column("gone").to_pylist(), strict=True):
+                listed = set(gone or ())
+                now.append(None if text is None else b"\n".join(_prune(text, lambda digests, listed=listed: [d in listed for d in digests])[1]).decode("utf-8", "surrogatepass"))
+            arrays = [pa.array(now, pa.string()) if c == "text" else whole.field(c) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, list(names))
+
+    return rewrite
+
+
+def _pruner(shared):
     def prune(batches):
-        exact, blobs = shared.value
-        filters = {s: CuckooFilter.load(b) for s, b in blobs.items()}
-        if shards == 1 and 0 in filters:
-            maybe = lambda digests: filters[0].contains(CuckooFilter.parts(digests))
-        else:
-            # which shard holds a key is Spark's hash; any filter's yes is checked against the exact keys
-            maybe = lambda digests: np.any([f.contains(CuckooFilter.parts(digests)) for f in filters.values()], axis=0) if filters else np.zeros(len(digests), bool)
-        frequent = lambda digests: [y and d in exact for d, y in zip(digests, maybe(digests).tolist(), strict=True)]
+        frequent = _checker(shared)
         for batch in batches:
             yield _result(batch, [_answer(doc, *_prune(text, frequent)) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)])
 

@@ -291,5 +291,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     return out.select(null("doc_id"), null("class_id"), null("set_id"), "n_links")
 
 
+def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The documents with all their columns, one of each class: that of the least doc_id (a null one is the least)."""
+    rows = stash(docs.select(F.struct(*docs.columns).alias("document")).withColumn("row", F.monotonically_increasing_id()), "documents")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")), threshold)
+    ids = rows.select(F.col("row").alias("doc_id"), F.coalesce(F.col("document.doc_id").cast("long"), F.lit(NO_DOC)).alias("of"))
+    kept = found.join(ids, "doc_id").groupBy("class_id").agg(F.min(F.struct("of", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("document.*")
+
+
 def op4_query(spark, sf_dir):
     return near_duplicates(load(spark, sf_dir, "documents"))

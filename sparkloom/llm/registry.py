@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, length_histogram, line_index, ngram_join, pii, quality, relative_lz, token_files
+from . import decontaminate, host_rules, length_histogram, line_index, nbest_pieces, ngram_join, pii, quality, relative_lz, token_files
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_line_dedup": line_index.op6_query,
         "op7_length_histogram": length_histogram.op7_query,
         "op8_host_rules": host_rules.op8_query,
+        "op9_nbest_pieces": nbest_pieces.op9_query,
         "op10_token_files": token_files.op10_query,
     }
 
