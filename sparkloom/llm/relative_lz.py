@@ -138,17 +138,18 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), text_key().alias("mark"), "text")
     every = stash(rows.select("doc", "mark", "text").mapInArrow(_blocks(window), BLOCKS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("b1").alias("lo"), F.max("b1").alias("hi"), F.min("doc").alias("least"), F.max("doc").alias("most"))
-    shared = anchors.where("least < most").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # sums by a key are written before they are joined by it: Spark then splits a hot key's rows in the join
+    shared = stash(anchors.where("least < most").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     blocks = stash(every.join(shared, "anchor"), "shared")
-    unstash(every)
-    least = blocks.groupBy("b1", "b2").agg(F.min("doc").alias("least"))
+    unstash(every, shared)
+    least = stash(blocks.groupBy("b1", "b2").agg(F.min("doc").alias("least")), "least")
     held = blocks.join(least, ["b1", "b2"])
     factors = held.where("doc > least").select("doc", "mark", "first", "last")
     spans = F.collect_list(F.struct("first", "last")).alias("spans")
     bounds = held.where("doc = least and mixed").groupBy("doc", "mark").agg(spans)
     # only documents with such blocks reach Python here; the texts are shuffled once for this and once for the result
     windows = stash(rows.join(bounds, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(_windows(window), WINDOWS), "windows")
-    earlier = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    earlier = stash(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "earlier")
     checked = windows.join(earlier, ["w1", "w2"]).where("doc > least").select("doc", "mark", "first", F.col("first").alias("last"))
     found = factors.unionByName(checked).groupBy("doc", "mark").agg(spans)
     return rows.join(found, ["doc", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), RESULT)
