@@ -14,7 +14,8 @@ def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written before it is joined by the same key: Spark then splits the links of a hot node in the join
+    least = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if larger:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

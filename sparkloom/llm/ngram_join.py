@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     links_of = F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1
     placed = sets.select("id", "same", "set_id", "n_rows").join(counted, "id", "left").join(classes, "id", "left")
     placed = stash(placed.select("same", "set_id", F.coalesce("component", "id").alias("component"), links_of.alias("n_links")), "placed")
-    least_doc = placed.groupBy("component").agg(F.min("set_id").alias("class_id"))
+    least_doc = stash(placed.groupBy("component").agg(F.min("set_id").alias("class_id")), "classes")
     final = placed.join(least_doc, "component").select("same", "set_id", "class_id", "n_links")
     empty = known.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
     out = full.select("doc_id", "same").join(final, "same").select("doc_id", "class_id", "set_id", "n_links").unionByName(empty)

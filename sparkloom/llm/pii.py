@@ -137,6 +137,7 @@ def score_patterns(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         scored = stash(scored, "scores")
         by_instance = edges.join(scored.select("context", "kind", "confidence"), ["context", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
+        by_instance = stash(by_instance, "beliefs")
         by_pattern = edges.join(by_instance, ["instance", "kind"]).groupBy("context", "kind").agg(F.sum("belief").alias("more"))
         scored = patterns.join(by_pattern, ["context", "kind"], "left").withColumn("believed", F.col("seeds") + F.coalesce("more", F.lit(0.0))).withColumn("confidence", confidence).drop("more")
     return scored.select("context", "kind", "seeds", "confidence")
