@@ -112,8 +112,8 @@ class GraphStore:
 
 
 class Session:
-    def __init__(self, store: GraphStore | PropertyGraph, max_document: int = MAX_DOCUMENT):
-        self.store = store if isinstance(store, GraphStore) else GraphStore(store)
+    def __init__(self, store, max_document: int = MAX_DOCUMENT):
+        self.store = GraphStore(store) if isinstance(store, PropertyGraph) else store
         self.max_document = document_limit(max_document)
         self._open: tuple[int, PropertyGraph, bool] | None = None
 
