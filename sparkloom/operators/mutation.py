@@ -7,6 +7,7 @@ that are made up do not change when a part of the work is done again. Rows keep
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -206,7 +207,7 @@ class Mutator:
                 columns.append(F.col(f"`{k}`"))
         df = joined.select(*columns)
         self._guard(df.where("false") if not fields else df, [k for k, _, _ in fields if k in df.columns])
-        return NodeTable(df, table.labels) if b.kind == "node" else EdgeTable(df, table.type)
+        return replace(table, df=df)
 
     def _labels(self, df, b: Binding, label: str, remove: bool) -> None:
         targets = materialise(df.select(b.column("$id").alias("$id")).distinct().withColumn("$hit", F.lit(True)), "updates")
@@ -220,7 +221,9 @@ class Mutator:
             changed = F.array_remove(labels, label) if remove else F.array_sort(F.array_union(labels, F.array(F.lit(label))))
             joined = t.df.withColumn("$labels", labels).join(targets, "$id", "left")
             fresh.append(NodeTable(joined.withColumn("$labels", F.when(F.col("$hit"), changed if t.labels is None else _relabel(t.labels, label, remove)).otherwise(F.col("$labels"))).drop("$hit"), None))
-        self._done(df, self.graph.replaced(nodes=tuple(fresh)))
+        # what was told of the labels at the ends of edges may no longer hold
+        edges = tuple(EdgeTable(t.df, t.type) if t.src_labels or t.dst_labels else t for t in self.graph.edges)
+        self._done(df, self.graph.replaced(nodes=tuple(fresh), edges=edges))
 
     # --- DELETE
     def delete(self, df: DataFrame, scope: Scope, clause: A.Delete) -> None:
@@ -241,7 +244,7 @@ class Mutator:
         for t in self.graph.edges:
             own = targets.where(F.col("$type") == t.type).drop("$type")
             self.count += t.df.join(own, list(EDGE_KEY), "left_semi").count()
-            fresh.append(EdgeTable(t.df.join(own, list(EDGE_KEY), "left_anti"), t.type))
+            fresh.append(replace(t, df=t.df.join(own, list(EDGE_KEY), "left_anti")))
         self._done(df, self.graph.replaced(edges=tuple(fresh)))
 
     def incident(self, ids: DataFrame) -> DataFrame:
@@ -256,7 +259,7 @@ class Mutator:
         if detach:
             removed = touched.count()
             off = lambda df, end: df.join(ids.withColumnRenamed("$id", end), end, "left_anti")
-            edges = tuple(EdgeTable(off(off(t.df, "$src"), "$dst"), t.type) for t in self.graph.edges)
+            edges = tuple(replace(t, df=off(off(t.df, "$src"), "$dst")) for t in self.graph.edges)
             self._done(ids, self.graph.replaced(edges=edges))
         elif some(touched):
             raise DataError("the node has edges; DETACH DELETE takes them along")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import GqlSyntaxError
 from ..gql import ast as A
-from ..sources.graph import PropertyGraph
+from ..sources.graph import EdgeTable, PropertyGraph, label_test
 from .expressions import Expressions, identity
 from .scope import ALL, Binding, Scope, children, variables
 
@@ -35,6 +35,8 @@ class Pattern:
     keys: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = field(default_factory=list)
     #: conditions that refer to variables bound elsewhere
     tests: list[A.Node] = field(default_factory=list)
+    #: labels that a variable's nodes were scanned for
+    labels: dict[str, A.Node | None] = field(default_factory=dict)
 
 
 class Matcher:
@@ -166,7 +168,7 @@ class Matcher:
     def path(self, path: A.Path, known: Scope) -> Pattern:
         out = Pattern()
         nodes, edges = path.elements[::2], path.elements[1::2]
-        here = self._start(out, nodes[0], known, bool(edges))
+        here = self._start(out, nodes[0], known, (edges[0], nodes[1]) if edges else None)
         anchor = nodes[0].var
         for edge, node in zip(edges, nodes[1:], strict=True):
             here = self._step(out, here, edge, node, known, anchor)
@@ -197,24 +199,57 @@ class Matcher:
         if pat.where is not None:
             self._test(out, known, pat.where, hidden)
 
-    def _nodes(self, var: str, pat: A.NodePattern) -> tuple[DataFrame, Binding]:
+    # --- what is known of the ends of edges
+    def _tables(self, edge: A.EdgePattern, near: A.Node | None, far: A.Node | None, forward: bool) -> list[EdgeTable]:
+        """Edge tables that can join nodes of these labels, in one direction."""
+        fits = lambda labels, expr: labels is None or label_test(expr, set(labels))
+        return [t for t in self.graph.edge_tables(edge.labels) if all(fits(x, y) for x, y in zip(t.ends(forward), (near, far), strict=True))]
+
+    def _ways(self, edge: A.EdgePattern) -> tuple[bool, ...]:
+        return {"right": (True,), "left": (False,), "any": (True, False)}[edge.direction]
+
+    def _end_labels(self, edge: A.EdgePattern, near: A.Node | None, far: A.Node | None, at_far: bool) -> set[tuple[str, ...]] | None:
+        """The label sets of the nodes at one end of the edges that can match; None: any."""
+        if edge.low is not None:
+            return None
+        out = set()
+        for forward in self._ways(edge):
+            for t in self._tables(edge, near, far, forward):
+                labels = t.ends(forward)[1 if at_far else 0]
+                if labels is None:
+                    return None
+                out.add(labels)
+        return out
+
+    def _told(self, pat: A.NodePattern, ends: set[tuple[str, ...]] | None) -> bool:
+        """Whether nodes need no scan: nothing but their id is asked, and the edges tell that they exist with their labels."""
+        plain = self.graph.complete and not pat.props and pat.where is None and not self._shown(pat.var)
+        if not plain or self._wanted(pat.var, self.graph.node_props(pat.labels), set()):
+            return False
+        return pat.labels is None or (ends is not None and all(label_test(pat.labels, set(x)) for x in ends))
+
+    def _nodes(self, var: str, pat: A.NodePattern, among=None) -> tuple[DataFrame, Binding]:
         kinds = self.graph.node_props(pat.labels)
         props = self._wanted(pat.var, kinds, {k for k, _ in pat.props} | ({c.key for c in walk(pat.where) if isinstance(c, A.Prop)} if pat.where else set()))
         b = Binding("node", var, tuple((k, kinds[k]) for k in props))
-        scan = self.graph.scan_nodes(pat.labels, props)
+        scan = self.graph.scan_nodes(pat.labels, props, among)
         return scan.select(F.col("$id").alias(f"{var}$id"), F.col("$labels").alias(f"{var}$labels"), *[F.col(f"`{k}`").alias(f"{var}$p${k}") for k in props]), b
 
-    def _start(self, out: Pattern, pat: A.NodePattern, known: Scope, more: bool) -> str | None:
+    def _start(self, out: Pattern, pat: A.NodePattern, known: Scope, more) -> str | None:
         if pat.var in known:
             self._kind(known[pat.var], "node")
             self._pattern_tests(out, known, pat.var, pat, True)
             return None
         var = pat.var or f"$n{next(_fresh)}"
-        bare = more and self.graph.complete and pat.labels is None and not pat.props and pat.where is None
-        if bare and not self._wanted(pat.var, self.graph.node_props(), set()) and not self._shown(pat.var):
-            out.scope[var] = Binding("node", var)
-            return f"?{var}"
-        out.df, out.scope[var] = self._nodes(var, pat)
+        out.labels[var] = pat.labels
+        ends = None
+        if more:
+            edge, other = more
+            ends = self._end_labels(edge, pat.labels, None if other.var in known else other.labels, False)
+            if (edge.low is None or pat.labels is None and edge.low > 0) and self._told(pat, ends):
+                out.scope[var] = Binding("node", var)
+                return f"?{var}"
+        out.df, out.scope[var] = self._nodes(var, pat, ends)
         self._pattern_tests(out, known, var, pat, False)
         return f"{var}$id"
 
@@ -236,7 +271,9 @@ class Matcher:
         if repeated and quantified:
             raise GqlSyntaxError(f"{edge.var} is bound already")
         name = f"$e{k}" if repeated else var
-        hops, binding = self._walks(edge, name, start, end) if quantified else self._edges(edge, name, start, end)
+        near = None if here is None else out.labels.get(here.lstrip("?").removesuffix("$id"))
+        far = None if node.var in known or node.var in out.scope else node.labels
+        hops, binding = self._walks(edge, name, start, end) if quantified else self._edges(edge, name, start, end, near, far)
         if here is None:
             # the path starts at a node that is bound elsewhere
             first = f"$key{k}"
@@ -260,9 +297,9 @@ class Matcher:
                 out.keys.append((edge.var, identity(binding), tuple(f"{name}{p}" for p in identity(binding))))
                 out.df = out.df.drop(*[c for c in binding.columns if "$p$" in c])
             del out.scope[name]
-        return self._arrive(out, end, node, known, edge.var if not repeated else None)
+        return self._arrive(out, end, node, known, edge.var if not repeated else None, self._end_labels(edge, near, far, True))
 
-    def _arrive(self, out: Pattern, end: str, pat: A.NodePattern, known: Scope, hidden: str | None) -> str:
+    def _arrive(self, out: Pattern, end: str, pat: A.NodePattern, known: Scope, hidden: str | None, ends) -> str:
         if pat.var is not None and pat.var in out.scope:
             self._kind(out.scope[pat.var], "node")
             out.df = out.df.where(F.col(f"`{end}`") == out.scope[pat.var].column("$id")).drop(end)
@@ -274,29 +311,32 @@ class Matcher:
             self._pattern_tests(out, known, pat.var, pat, True, hidden)
             return end
         var = pat.var or f"$n{next(_fresh)}"
-        bare = self.graph.complete and pat.labels is None and not pat.props and pat.where is None
-        if bare and not self._wanted(pat.var, self.graph.node_props(), set()) and not self._shown(pat.var):
+        out.labels[var] = pat.labels
+        if self._told(pat, ends):
             out.df = out.df.withColumnRenamed(end, f"{var}$id").withColumn(f"{var}$labels", F.lit(None).cast("array<string>"))
             out.scope[var] = Binding("node", var)
             return f"{var}$id"
-        nodes, binding = self._nodes(var, pat)
+        nodes, binding = self._nodes(var, pat, ends)
         out.df = out.df.join(nodes, F.col(f"`{end}`") == F.col(f"`{var}$id`"), "inner").drop(end)
         out.scope[var] = binding
         self._pattern_tests(out, known, var, pat, False, hidden)
         return f"{var}$id"
 
     # --- edges
-    def _both_ways(self, scan: DataFrame, direction: str, start: str, end: str) -> DataFrame:
-        right = lambda d: d.withColumns({start: F.col("$src"), end: F.col("$dst")})
-        left = lambda d: d.withColumns({start: F.col("$dst"), end: F.col("$src")})
-        if direction == "any":
-            return right(scan).unionByName(left(scan.where("`$src` <> `$dst`")))
-        return right(scan) if direction == "right" else left(scan)
-
-    def _edges(self, pat: A.EdgePattern, name: str, start: str, end: str) -> tuple[DataFrame, Binding]:
+    def _both_ways(self, pat: A.EdgePattern, props: list[str], start: str, end: str, near, far) -> DataFrame:
+        """Edges by the end where one comes from and the end where one gets to; a loop has one way only."""
+        parts = []
+        for forward in self._ways(pat):
+            scan = self.graph.scan_edges(pat.labels, props, self._tables(pat, near, far, forward))
+            if not forward and pat.direction == "any":
+                scan = scan.where("`$src` <> `$dst`")
+            parts.append(scan.withColumns({start: F.col("$src" if forward else "$dst"), end: F.col("$dst" if forward else "$src")}))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _edges(self, pat: A.EdgePattern, name: str, start: str, end: str, near=None, far=None) -> tuple[DataFrame, Binding]:
         kinds = self.graph.edge_props(pat.labels)
         props = self._wanted(pat.var, kinds, {k for k, _ in pat.props} | ({c.key for c in walk(pat.where) if isinstance(c, A.Prop)} if pat.where else set()))
-        scan = self._both_ways(self.graph.scan_edges(pat.labels, props), pat.direction, start, end)
+        scan = self._both_ways(pat, props, start, end, near, far)
         columns = [F.col(c).alias(f"{name}{c}") for c in ("$src", "$type", "$dst", "$rank")] + [F.col(f"`{k}`").alias(f"{name}$p${k}") for k in props]
         return scan.select(start, end, *columns), Binding("edge", name, tuple((k, kinds[k]) for k in props))
 

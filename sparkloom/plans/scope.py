@@ -74,6 +74,7 @@ def variables(node: A.Node | None) -> set[str]:
 def needs(query: A.Query) -> dict[str, object]:
     """Properties that the query asks of each variable; ALL where it takes the whole element."""
     out: dict[str, object] = {}
+    stands: list[tuple[str, bool]] = []
 
     def add(var, key):
         if out.get(var) is not ALL:
@@ -102,8 +103,8 @@ def needs(query: A.Query) -> dict[str, object]:
                     visit(a)
             return None
         if isinstance(node, (A.NodePattern, A.EdgePattern)):
-            if node.var and node.labels is not None:
-                add("$labels", node.var)
+            if node.var:
+                stands.append((node.var, node.labels is not None))
             for k, v in node.props:
                 if node.var:
                     add(node.var, k)
@@ -118,6 +119,10 @@ def needs(query: A.Query) -> dict[str, object]:
         return None
 
     visit(query)
+    # labels of a variable that stands in several patterns are tested on what binds it
+    for var, labelled in stands:
+        if labelled and sum(v == var for v, _ in stands) > 1:
+            add("$labels", var)
     return out
 
 

@@ -42,8 +42,15 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
+    """src_labels and dst_labels, where told: every edge starts and ends at nodes with just these labels."""
+
     df: DataFrame
     type: str
+    src_labels: tuple[str, ...] | None = None
+    dst_labels: tuple[str, ...] | None = None
+
+    def ends(self, forward: bool) -> tuple[tuple[str, ...] | None, tuple[str, ...] | None]:
+        return (self.src_labels, self.dst_labels) if forward else (self.dst_labels, self.src_labels)
 
     @property
     def props(self) -> dict[str, T.DataType]:
@@ -105,13 +112,14 @@ class PropertyGraph:
             made = made.drop(id)
         return replace(self, nodes=(*self.nodes, NodeTable(made, tuple(sorted(set(labels))) if "$labels" not in df.columns else None)))
 
-    def with_edges(self, df: DataFrame, type: str, src: str | Column = "src", dst: str | Column = "dst", rank: str | Column | None = None) -> "PropertyGraph":
+    def with_edges(self, df: DataFrame, type: str, src: str | Column = "src", dst: str | Column = "dst", rank: str | Column | None = None, between: tuple[str, str] | None = None) -> "PropertyGraph":
+        """The graph with a table of edges; between: the one label that all their sources have, and that of their destinations."""
         if not type:
             raise DataError("a type has a name")
         of = lambda c: F.col(c) if isinstance(c, str) else c
         made = df.withColumns({"$src": of(src).cast("long"), "$dst": of(dst).cast("long"), "$rank": (F.lit(0) if rank is None else of(rank)).cast("long")})
         used = [c for c in (src, dst, rank) if isinstance(c, str)]
-        return replace(self, edges=(*self.edges, EdgeTable(wide(made.drop(*used)), type)))
+        return replace(self, edges=(*self.edges, EdgeTable(wide(made.drop(*used)), type, *([(between[0],), (between[1],)] if between else []))))
 
     def replaced(self, nodes=None, edges=None) -> "PropertyGraph":
         return replace(self, nodes=self.nodes if nodes is None else tuple(nodes), edges=self.edges if edges is None else tuple(edges))
@@ -139,23 +147,25 @@ class PropertyGraph:
         return {k: common_type(v) for k, v in sorted(found.items())}
 
     # --- scans
-    def scan_nodes(self, labels: A.Node | None = None, props: list[str] | None = None) -> DataFrame:
-        """$id, $labels and the properties (None: all) of the nodes of these labels."""
+    def scan_nodes(self, labels: A.Node | None = None, props: list[str] | None = None, among: set[tuple[str, ...]] | None = None) -> DataFrame:
+        """$id, $labels and the properties (None: all) of the nodes of these labels; among: those label sets suffice."""
         kinds = self.node_props(labels)
         wanted = sorted(kinds) if props is None else sorted(set(props) & set(kinds))
         parts = []
         for t in self.node_tables(labels):
+            if among is not None and t.labels is not None and t.labels not in among:
+                continue
             df = t.df if t.labels is not None or labels is None else t.df.where(label_column(labels, F.col("$labels")))
             parts.append(df.select("$id", t.labels_column().alias("$labels"), *self._columns(t, wanted, kinds)))
         if not parts:
             return self.spark.createDataFrame([], T.StructType([T.StructField("$id", T.LongType()), T.StructField("$labels", T.ArrayType(T.StringType())), *[T.StructField(k, kinds[k]) for k in wanted]]))
         return reduce(DataFrame.unionByName, parts)
 
-    def scan_edges(self, labels: A.Node | None = None, props: list[str] | None = None) -> DataFrame:
-        """$src, $type, $dst, $rank and the properties (None: all) of the edges of these types."""
+    def scan_edges(self, labels: A.Node | None = None, props: list[str] | None = None, tables: list[EdgeTable] | None = None) -> DataFrame:
+        """$src, $type, $dst, $rank and the properties (None: all) of the edges of these types; tables: of these only."""
         kinds = self.edge_props(labels)
         wanted = sorted(kinds) if props is None else sorted(set(props) & set(kinds))
-        parts = [t.df.select("$src", F.lit(t.type).alias("$type"), "$dst", "$rank", *self._columns(t, wanted, kinds)) for t in self.edge_tables(labels)]
+        parts = [t.df.select("$src", F.lit(t.type).alias("$type"), "$dst", "$rank", *self._columns(t, wanted, kinds)) for t in (self.edge_tables(labels) if tables is None else tables)]
         if not parts:
             fields = [("$src", T.LongType()), ("$type", T.StringType()), ("$dst", T.LongType()), ("$rank", T.LongType())]
             return self.spark.createDataFrame([], T.StructType([T.StructField(k, v) for k, v in [*fields, *[(k, kinds[k]) for k in wanted]]]))

@@ -52,7 +52,7 @@ class DiskStore:
         version = known[-1] if version is None else version
         manifest = self._read(version)
         nodes = tuple(self._table(x, lambda df, x: NodeTable(df, None if x["labels"] is None else tuple(x["labels"]))) for x in manifest["nodes"])
-        edges = tuple(self._table(x, lambda df, x: EdgeTable(df, x["type"])) for x in manifest["edges"])
+        edges = tuple(self._table(x, lambda df, x: EdgeTable(df, x["type"], *[None if e is None else tuple(e) for e in x["ends"]])) for x in manifest["edges"])
         return version, PropertyGraph(self.spark, nodes, edges, manifest["name"], manifest["number"], manifest["complete"])
 
     def _table(self, entry: dict, make):
@@ -73,7 +73,7 @@ class DiskStore:
             for t in tables:
                 held = self._written.get(id(t))
                 if held is None or held[0] is not t:
-                    entry = {"path": self._write(t, keys)} | ({"labels": None if t.labels is None else list(t.labels)} if kind == "nodes" else {"type": t.type})
+                    entry = {"path": self._write(t, keys)} | ({"labels": None if t.labels is None else list(t.labels)} if kind == "nodes" else {"type": t.type, "ends": [t.src_labels, t.dst_labels]})
                     self._written[id(t)] = held = (t, entry)
                 entries[kind].append(held[1])
         manifest = {"name": graph.name, "number": graph.number, "complete": graph.complete, **entries}

@@ -21,17 +21,17 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     g = PropertyGraph(spark, complete=True)
     for name, label, kind, key in (("region", "Region", REGION, "r_regionkey"), ("nation", "Nation", NATION, "n_nationkey"), ("customer", "Customer", CUSTOMER, "c_custkey"), ("supplier", "Supplier", SUPPLIER, "s_suppkey"), ("part", "Part", PART, "p_partkey"), ("orders", "Order", ORDER, "o_orderkey")):
         g = g.with_nodes(t[name], label, id=uid(kind, key))
-    g = g.with_edges(t["nation"].select(uid(NATION, "n_nationkey").alias("src"), uid(REGION, "n_regionkey").alias("dst")), "IN_REGION")
-    g = g.with_edges(t["customer"].select(uid(CUSTOMER, "c_custkey").alias("src"), uid(NATION, "c_nationkey").alias("dst")), "IN_NATION")
-    g = g.with_edges(t["supplier"].select(uid(SUPPLIER, "s_suppkey").alias("src"), uid(NATION, "s_nationkey").alias("dst")), "IN_NATION")
-    g = g.with_edges(t["orders"].select(uid(CUSTOMER, "o_custkey").alias("src"), uid(ORDER, "o_orderkey").alias("dst")), "PLACED")
+    g = g.with_edges(t["nation"].select(uid(NATION, "n_nationkey").alias("src"), uid(REGION, "n_regionkey").alias("dst")), "IN_REGION", between=("Nation", "Region"))
+    g = g.with_edges(t["customer"].select(uid(CUSTOMER, "c_custkey").alias("src"), uid(NATION, "c_nationkey").alias("dst")), "IN_NATION", between=("Customer", "Nation"))
+    g = g.with_edges(t["supplier"].select(uid(SUPPLIER, "s_suppkey").alias("src"), uid(NATION, "s_nationkey").alias("dst")), "IN_NATION", between=("Supplier", "Nation"))
+    g = g.with_edges(t["orders"].select(uid(CUSTOMER, "o_custkey").alias("src"), uid(ORDER, "o_orderkey").alias("dst")), "PLACED", between=("Customer", "Order"))
     item = t["lineitem"]
     # lines of an order and a part are parallel edges: their place among each other is the rank
     place = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")) - 1
     lines = item.select(uid(ORDER, "l_orderkey").alias("src"), uid(PART, "l_partkey").alias("dst"), place.alias("rank"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("shipdate"))
-    g = g.with_edges(lines, "CONTAINS", rank="rank")
+    g = g.with_edges(lines, "CONTAINS", rank="rank", between=("Order", "Part"))
     pairs = item.select("l_partkey", "l_suppkey").distinct()
-    return g.with_edges(pairs.select(uid(PART, "l_partkey").alias("src"), uid(SUPPLIER, "l_suppkey").alias("dst")), "SUPPLIED_BY")
+    return g.with_edges(pairs.select(uid(PART, "l_partkey").alias("src"), uid(SUPPLIER, "l_suppkey").alias("dst")), "SUPPLIED_BY", between=("Part", "Supplier"))
 
 
 def events_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -48,7 +48,7 @@ def turns_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("id", uid(TURN, "conv_id") + 0)
     turns = turns.withColumn("id", F.lit(TURN * ORD).cast("long") + F.col("conv_id") * 1000 + F.col("turn"))
     follows = turns.select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"), "turn").where("turn > 0").drop("turn")
-    return PropertyGraph(spark).with_nodes(turns, "Turn").with_edges(follows, "NEXT")
+    return PropertyGraph(spark).with_nodes(turns, "Turn").with_edges(follows, "NEXT", between=("Turn", "Turn"))
 
 
 def documents_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -57,4 +57,4 @@ def documents_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ratings = labels.select(uid(DOCUMENT + 1, "doc_id").alias("id"), "quality", "toxic")
     links = labels.select(uid(DOCUMENT, "doc_id").alias("src"), uid(DOCUMENT + 1, "doc_id").alias("dst"))
-    return PropertyGraph(spark).with_nodes(docs, "Document").with_nodes(ratings, "Rating").with_edges(links, "RATED")
+    return PropertyGraph(spark).with_nodes(docs, "Document").with_nodes(ratings, "Rating").with_edges(links, "RATED", between=("Document", "Rating"))

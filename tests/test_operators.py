@@ -146,3 +146,17 @@ def test_stream(spark, tmp_path):
     q = activity(events).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from activity").first()[0] == 1000
+
+
+def test_ends_that_are_told_save_scans(spark):
+    people = spark.createDataFrame([(1,), (2,)], "id long")
+    towns = spark.createDataFrame([(10, "Ulm")], "id long, town string")
+    lives = spark.createDataFrame([(1, 10), (2, 10)], "src long, dst long")
+    g = PropertyGraph(spark, complete=True).with_nodes(people, "P").with_nodes(towns, "T").with_edges(lives, "LIVES", between=("P", "T"))
+    for text, want in (("MATCH (p:P)-[:LIVES]->(t) RETURN t.town", 2), ("MATCH (p)-[:LIVES]->(t:P) RETURN p.id", 0), ("MATCH (p)-(t:P) RETURN t.id", 2), ("MATCH (t:T)-{1,2}(p) RETURN p.id", 4), ("MATCH (p:P)-(t:T)-(q:P) RETURN q.id", 4)):
+        assert query(g, text).count() == want, text
+    plan = query(g, "MATCH (p:P)-[:LIVES]->(t:T) RETURN p.id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    s = Session(g)
+    s.execute("MATCH (p:P {id: 1}) REMOVE p:P")
+    assert s.execute("MATCH (p:P)-[:LIVES]->(t) RETURN p.id").collect() == [(2,)]
