@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: the N best segmentations of a text over the lattice of a public model's pieces.
 
 A segmentation's score is the sum of its pieces' scores. Pieces never reach across a space that follows another letter, nor a
-line feed, so the lattice falls into chunks. In each chunk forward Viterbi scores are the exact heuristic of a backward A-star
-search, which then pops complete segmentations in the order of their scores. The best segmentations of a text take the best of
-each chunk but for a few, found by merging the chunks' losses. Workers keep the chunks they have met.
+line feed, so the lattice falls into chunks. Viterbi passes over all new chunks of one length at once give each chunk's best segmentation
+and what the second best loses. The n best segmentations of a text differ from its best in at most n - 1 chunks, those that lose
+least; there forward Viterbi scores are the exact heuristic of a backward A-star search, which pops complete segmentations in
+the order of their scores, and the chunks' losses are merged. Workers keep the chunks they have met. Pieces are looked up by 64-bit hashes.
 
 A letter without a piece is written as the byte pieces of its UTF-8 form and costs what the worst piece costs and 10 more. The
 text gets a space in front, spaces are the model's space mark, and nothing else is normalised; a literal space mark is written
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import load, texts
 
 #: Chunks that a worker keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
-CACHE_CHUNKS, LONG = 300_000, 48
+CACHE_CHUNKS, CACHE_SEARCHES, LONG = 400_000, 50_000, 48
 UNKNOWN_COST = 10.0
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, "PieceModel"] = {}
 _chunks = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
 
@@ -69,8 +71,17 @@ class PieceModel:
             for k in range(1, len(piece)):
                 self.entries.setdefault(piece[:k], None)
         self.entries.update(pieces)
-        self.pairs = {piece[k - 1 : k + 1] for piece in pieces for k in range(1, len(piece))}
-        self.cache: dict[int, dict[str, tuple]] = {}
+        self.longest = max(map(len, pieces))
+        #: by length: hashes of the pieces in order, their ids and their scores
+        self.by_length = {}
+        for length in range(1, self.longest + 1):
+            own = sorted((_rolled(p), i, s) for p, (s, i) in pieces.items() if len(p) == length) or [(0, 0, -np.inf)]
+            keys, ids, scores = zip(*own, strict=True)
+            if len(set(keys)) < len(keys):
+                raise ValueError("pieces with equal hashes")
+            self.by_length[length] = np.array(keys, np.uint64), np.array(ids, np.uint16), np.array(scores)
+        self.known: dict[str, tuple[float, bytes, float]] = {}
+        self.searched: dict[tuple[int, str], list] = {}
 
     @classmethod
     def of(cls, pieces: dict[str, float]) -> "PieceModel":
@@ -122,76 +133,148 @@ class PieceModel:
                 heapq.heappush(heap, (-(after + cost + forward[i]), made, i, after + cost, (ids, path)))
         return out
 
-    def chunk(self, chunk: str, n: int):
-        """(best score, its ids as bytes, the least loss, [(loss, ids)] of the other segmentations)."""
-        known = self.cache.setdefault(n, {})
-        found = known.get(chunk)
+    def _learn(self, chunks: set[str]) -> None:
+        """Finds (best score, its ids as bytes, what the second best segmentation loses) of chunks."""
+        by_size: dict[int, list[str]] = {}
+        for c in chunks:
+            by_size.setdefault(len(c), []).append(c)
+        for size, same in by_size.items():
+            step = max(64, 400_000 // size)
+            for at in range(0, len(same), step):
+                part = same[at : at + step]
+                if size > LONG:
+                    left = part
+                else:
+                    left = self._viterbi(part, size)
+                for c in left:
+                    best, *others = self.nbest(c, 2)
+                    self.known[c] = best[0], np.array(best[1], "<u2").tobytes(), best[0] - others[0][0] if others else np.inf
+
+    def _viterbi(self, chunks: list[str], size: int) -> list[str]:
+        """Forward and backward Viterbi scores of chunks of one length, all at once. The second best segmentation has an arc
+        that the best has not: its score is the best of those of the best ways through such arcs. Chunks with a letter
+        that has no piece are returned."""
+        letters = np.array(chunks, f"U{size}").view(np.uint32).reshape(-1, size).astype(np.uint64)
+        m = len(chunks)
+        cost, place = {}, {}
+        rolled = np.zeros((m, size + 1), np.uint64)
+        for length in range(1, min(size, self.longest) + 1):
+            rolled = rolled[:, : size - length + 1] * _ROLL + letters[:, length - 1 :]
+            keys, index, score = self.by_length[length]
+            near = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
+            hit = keys[near] == rolled
+            cost[length] = np.where(hit, score[near], -np.inf)
+            place[length] = index[near]
+        whole = np.isfinite(cost[1]).all(1)
+        forward = np.full((m, size + 1), -np.inf)
+        came = np.zeros((m, size + 1), np.int64)
+        forward[:, 0] = 0.0
+        for j in range(1, size + 1):
+            for length in range(1, min(j, self.longest) + 1):
+                way = forward[:, j - length] + cost[length][:, j - length]
+                better = way > forward[:, j]
+                forward[better, j] = way[better]
+                came[better, j] = length
+        backward = np.full((m, size + 1), -np.inf)
+        backward[:, size] = 0.0
+        for i in range(size - 1, -1, -1):
+            for length in range(1, min(size - i, self.longest) + 1):
+                np.maximum(backward[:, i], cost[length][:, i] + backward[:, i + length], out=backward[:, i])
+        at = np.full(m, size)
+        rows = np.arange(m)
+        used, taken, n_ids = {k: np.zeros(v.shape, bool) for k, v in cost.items()}, np.zeros((m, size), np.uint16), np.zeros(m, np.int64)
+        while (at > 0).any():
+            live = rows[at > 0]
+            step = came[live, at[live]]
+            step = np.where(step == 0, 1, step)  # of rows that are not whole
+            begin = at[live] - step
+            for length in np.unique(step).tolist():
+                own = step == length
+                used[length][live[own], begin[own]] = True
+                taken[live[own], n_ids[live[own]]] = place[length][live[own], begin[own]]
+            n_ids[live] += 1
+            at[live] = begin
+        second = np.full(m, -np.inf)
+        for length, c in cost.items():
+            through = np.where(used[length], -np.inf, forward[:, : size - length + 1] + c + backward[:, length:])
+            np.maximum(second, through.max(1), out=second)
+        best = forward[:, size]
+        with np.errstate(invalid="ignore"):  # rows that are not whole
+            loss = best - second
+        known = self.known
+        for k in np.flatnonzero(whole).tolist():
+            known[chunks[k]] = float(best[k]), taken[k, : n_ids[k]][::-1].astype("<u2").tobytes(), float(loss[k])
+        return [chunks[k] for k in np.flatnonzero(~whole).tolist()]
+
+    def others(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the n - 1 segmentations after the best one, by A-star search."""
+        found = self.searched.get((n, chunk))
         if found is None:
-            parts = self._parts(chunk)
-            if len(parts) > 1:
-                found = self._merged([self.chunk(p, n) for p in parts], n)
-            else:
-                best, *others = self.nbest(chunk, n)
-                others = [(best[0] - s, ids) for s, ids in others]
-                found = (best[0], np.array(best[1], "<u2").tobytes(), others[0][0] if others else np.inf, others)
+            best, ids, _ = self.known[chunk]
+            first = tuple(np.frombuffer(ids, "<u2").tolist())
+            # where scores are equal the search may meet the best one later
+            found = [(best - score, way) for score, way in self.nbest(chunk, n) if way != first][: n - 1]
+            if len(self.searched) >= CACHE_SEARCHES:
+                self.searched.clear()
             if len(chunk) <= LONG:
-                if len(known) >= CACHE_CHUNKS:
-                    known.clear()
-                known[chunk] = found
+                self.searched[n, chunk] = found
         return found
 
-    def _parts(self, chunk: str) -> list[str]:
-        """The chunk cut between letters that stand together in no piece."""
-        pairs, out, at = self.pairs, [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in pairs:
-                out.append(chunk[at:i])
-                at = i
-        return [*out, chunk[at:]]
-
-    @staticmethod
-    def _ways(losses, found, n: int) -> list[tuple[float, tuple]]:
-        """(loss, ((place, number of the other segmentation), ...)) of the n least losses: at most n - 1 places can matter."""
-        ways = [(0.0, ())]
-        for k in _least(losses, n - 1).tolist() if n > 1 else ():
-            if np.isfinite(losses[k]):
-                more = [(loss + extra, (*swaps, (k, way))) for loss, swaps in ways for way, (extra, _) in enumerate(found[k][3])]
-                ways = sorted([*ways, *more], key=lambda w: w[0])[:n]
-        return ways
-
-    def _merged(self, found: list, n: int):
-        ways = self._ways(np.array([x[2] for x in found]), found, n)
-        own = [tuple(np.frombuffer(x[1], "<u2").tolist()) for x in found]
-        others = []
-        for loss, swaps in ways[1:]:
-            chosen = dict(swaps)
-            others.append((loss, tuple(i for k, ids in enumerate(own) for i in (found[k][3][chosen[k]][1] if k in chosen else ids))))
-        return sum(x[0] for x in found), b"".join([x[1] for x in found]), others[0][0] if others else np.inf, others
-
     def encode(self, text: str, n: int):
-        """(ids of the best segmentation as two-byte numbers, [(score, swaps)] of the n best; a swap is (place in the best ids,
-        how many of them go, ids that come), in order)."""
-        known = self.cache.setdefault(n, {})
-        chunks = _chunks(" " + text)
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            found = [self.chunk(c, n) for c in chunks]
-        scores, parts, losses, _ = zip(*found, strict=True)
-        total = sum(scores)
-        out = []
-        for loss, swaps in self._ways(np.array(losses), found, n):
-            written = []
-            for k, way in sorted(swaps):
-                written.append((sum(map(len, parts[:k])) // 2, len(parts[k]) // 2, list(found[k][3][way][1])))
-            out.append((total - loss, written))
-        return b"".join(parts), out
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: list[str], n: int):
+        """Of each text (ids of the best segmentation as two-byte numbers, [(score, swaps)] of the n best; a swap is (place in
+        the best ids, how many of them go, ids that come), in order)."""
+        for group in _portions(texts):
+            chunks = [_chunks(" " + t) for t in group]
+            missing = set().union(*chunks) - self.known.keys()
+            if missing:
+                if len(self.known) + len(missing) > CACHE_CHUNKS:
+                    self.known.clear()
+                    missing = set().union(*chunks)
+                self._learn(missing)
+            known = self.known
+            for cs in chunks:
+                scores, parts, losses = zip(*[known[c] for c in cs], strict=True)
+                total = sum(scores)
+                ways: list[tuple[float, tuple]] = [(0.0, ())]
+                # of n segmentations at most n - 1 chunks differ from the best, those that lose least
+                for k in _least(np.array(losses), n - 1).tolist() if n > 1 else ():
+                    if np.isfinite(losses[k]):
+                        more = [(loss + extra, (*swaps, (k, ids))) for loss, swaps in ways for extra, ids in self.others(cs[k], n)]
+                        ways = sorted([*ways, *more], key=lambda w: w[0])[:n]
+                out = []
+                for loss, swaps in ways:
+                    written = [(sum(map(len, parts[:k])) // 2, len(parts[k]) // 2, list(ids)) for k, ids in sorted(swaps)]
+                    out.append((total - loss, written))
+                yield b"".join(parts), out
 
     def decode(self, ids: bytes) -> str:
         written = self.written
         return b"".join([written[i] for i in np.frombuffer(ids, "<u2").tolist()]).decode("utf-8", "replace")[1:]
 
 
+def _rolled(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_ROLL) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def _portions(texts: list[str], letters: int = 2_000_000):
+    """Texts in groups of about so many letters."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= letters:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _least(x: np.ndarray, n: int) -> np.ndarray:
     """The places of the n least values, by value and place."""
     if n >= len(x):
@@ -223,8 +306,7 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
         swap = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("gone", pa.int32()), ("come", pa.list_(pa.int32()))])))
         for batch in batches:
             ids, scores, swaps = [], [], []
-            for text in batch.column("text").to_pylist():
-                best, ways = m.encode(text, n)
+            for best, ways in m.encode_all(batch.column("text").to_pylist(), n):
                 ids.append(best)
                 scores.append([s for s, _ in ways])
                 swaps.append([[dict(zip(("first", "gone", "come"), x, strict=True)) for x in w] for _, w in ways])
