@@ -33,6 +33,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 #: Sets of a block, and runs that a block has for each of them at most, on average.
 BLOCK, RUNS_A_SET = 2048, 1000
+#: Sets in groups up to this number (under 60 bytes each) go to every task that reads texts again; beyond, the texts are shuffled.
+BROADCAST_SETS = 500_000
 NO_DOC = -(1 << 63)
 
 _odd = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
@@ -258,6 +260,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     full = known.where("n_runs > 0")
     sets = full.groupBy("same").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("set_id"))
     sets = stash(sets.join(full.select(F.col("row").alias("id"), F.col("doc_id").alias("of"), "n_runs", "values"), "id"), "sets")
+    slim = stash(known.select("doc_id", "same", "n_runs"), "slim")
+    unstash(known)
 
     bands = stash(sets.select("id", "values").mapInArrow(_bands, "id long, band long"), "bands")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("sum")).where("n > 1")
@@ -271,7 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     unstash(edges)
     held = groups.join(sets.select("id", "n_runs"), "id").groupBy("grp")
     group_sizes = held.agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_runs") / RUNS_A_SET)).alias("n"))
-    wanted = groups.select("id").join(sets.select("id", "of", "same"), "id").select(F.col("of").alias("doc_id"), "id", "same")
+    wanted = stash(groups.select("id").join(sets.select("id", "of", "same"), "id").select(F.col("of").alias("doc_id"), "id", "same"), "wanted")
+    if wanted.count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
     # the runs of the sets in groups are computed again: of the others no one has any use for them
     runs = rows.join(wanted, "doc_id").select("id", "same", "text").mapInArrow(_runs(run), "id long, runs binary")
     units = _units(groups, "grp", group_sizes).select("id", "unit", "side")
@@ -285,8 +291,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     placed = stash(placed.select("same", "set_id", F.coalesce("component", "id").alias("component"), links_of.alias("n_links")), "placed")
     least_doc = stash(placed.groupBy("component").agg(F.min("set_id").alias("class_id")), "classes")
     final = placed.join(least_doc, "component").select("same", "set_id", "class_id", "n_links")
-    empty = known.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
-    out = full.select("doc_id", "same").join(final, "same").select("doc_id", "class_id", "set_id", "n_links").unionByName(empty)
+    unstash(sets, groups, links)
+    empty = slim.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
+    out = slim.where("n_runs > 0").select("doc_id", "same").join(final, "same").select("doc_id", "class_id", "set_id", "n_links").unionByName(empty)
     null = lambda c: F.nullif(F.col(c), F.lit(NO_DOC)).alias(c)
     return out.select(null("doc_id"), null("class_id"), null("set_id"), "n_links")
 

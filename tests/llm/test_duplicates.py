@@ -121,6 +121,7 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     want = linked(rows)
     for block in (2048, 16):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BROADCAST_SETS", 0 if block == 16 else 500_000)
         got = sorted(((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(df).collect()), key=repr)
         assert got == want
 
