@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import load, texts
 
 #: Chunks that a worker keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
-CACHE_CHUNKS, CACHE_SEARCHES, LONG = 400_000, 50_000, 48
+CACHE_CHUNKS, CACHE_SEARCHES, LONG = 250_000, 20_000, 48
 UNKNOWN_COST = 10.0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, "PieceModel"] = {}
@@ -139,7 +139,7 @@ class PieceModel:
         for c in chunks:
             by_size.setdefault(len(c), []).append(c)
         for size, same in by_size.items():
-            step = max(64, 400_000 // size)
+            step = max(64, 200_000 // size)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
                 if size > LONG:
@@ -262,7 +262,7 @@ def _rolled(piece: str) -> int:
     return h
 
 
-def _portions(texts: list[str], letters: int = 2_000_000):
+def _portions(texts: list[str], letters: int = 1_000_000):
     """Texts in groups of about so many letters."""
     group, size = [], 0
     for t in texts:
