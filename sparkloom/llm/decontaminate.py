@@ -36,8 +36,8 @@ _quantity = re.compile(r"[+-]?\d[\d.,]*([A-Za-z]+)").fullmatch
 _edges = "!\"'()*+,./:;<=>?@[\\]^_`{|}~#&-«»„“”‘’…¡¿"
 _kinds = mix64(np.array([11, 22, 33, 44], np.uint64))
 NUMBER, QUANTITY, NAME, UNIT = (int(x) for x in _kinds)
-#: Words whose codes a worker keeps.
-CACHE_WORDS = 1_000_000
+#: Words whose codes a task keeps.
+CACHE_WORDS = 400_000
 _codes: dict[str, tuple[int, str]] = {}
 
 
@@ -176,6 +176,7 @@ def _match(shared):
                 out[2].append([{"item_id": i, "first": a, "words": n} for i, a, n in items.hits(text)])
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), kind), strict=True)], ["doc_id", "mark", "hits"])
+        _codes.clear()  # a worker that waits for other tasks holds no words
 
     return match
 
@@ -199,6 +200,7 @@ def _clean(shared):
         for batch in batches:
             kept = [not items.hits(t or "") for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        _codes.clear()
 
     return clean
 

@@ -4,7 +4,7 @@ A segmentation's score is the sum of its pieces' scores. Pieces never reach acro
 line feed, so the lattice falls into chunks. Viterbi passes over all new chunks of one length at once give each chunk's best segmentation
 and what the second best loses. The n best segmentations of a text differ from its best in at most n - 1 chunks, those that lose
 least; there forward Viterbi scores are the exact heuristic of a backward A-star search, which pops complete segmentations in
-the order of their scores, and the chunks' losses are merged. Workers keep the chunks they have met. Pieces are looked up by 64-bit hashes.
+the order of their scores, and the chunks' losses are merged. A task keeps the chunks it has met. Pieces are looked up by 64-bit hashes.
 
 A letter without a piece is written as the byte pieces of its UTF-8 form and costs what the worst piece costs and 10 more. The
 text gets a space in front, spaces are the model's space mark, and nothing else is normalised; a literal space mark is written
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import load, texts
 
-#: Chunks that a worker keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
+#: Chunks that a task keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
 CACHE_CHUNKS, CACHE_SEARCHES, LONG = 250_000, 20_000, 48
 UNKNOWN_COST = 10.0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -312,6 +312,9 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
                 swaps.append([[dict(zip(("first", "gone", "come"), x, strict=True)) for x in w] for _, w in ways])
             arrays = [batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(swaps, swap)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "ids", "scores", "swaps"])
+        # a worker that waits for other tasks holds no chunks
+        m.known.clear()
+        m.searched.clear()
 
     return texts(docs).mapInArrow(run, RESULT)
 
