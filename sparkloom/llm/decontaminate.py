@@ -5,7 +5,10 @@ units after a number and capitalised words become placeholders, whatever stands
 window of WINDOW tokens (a shorter item: all its tokens) of which enough are literal is joined by its hash. Windows of one item
 that continue one another form a run; a run counts while its slots are consistent: equal values of the item stand for equal
 values of the text and different ones for different ones. A text is contaminated by an item with a run of RUN tokens, or of the
-whole item where that is shorter. Re-parameterised questions are found that way, since their templates are equal.
+whole item where that is shorter. Re-parameterised questions are found that way, since their templates are equal. Each item is
+also joined by its plain words, case-folded and without placeholders, under the same WINDOW and RUN: copies that differ in case,
+whose templates differ, are found that way. Of an item of under RUN tokens such a copy counts if it is in one case throughout
+(capitals, lower case or titled): few words of which one differs in case are no copy.
 
 The benchmark is the query set: it goes through the texts in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES of text, each
 broadcast, so the texts are never shuffled.
@@ -21,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,74 +40,97 @@ _quantity = re.compile(r"[+-]?\d[\d.,]*([A-Za-z]+)").fullmatch
 _edges = "!\"'()*+,./:;<=>?@[\\]^_`{|}~#&-«»„“”‘’…¡¿"
 _kinds = mix64(np.array([11, 22, 33, 44], np.uint64))
 NUMBER, QUANTITY, NAME, UNIT = (int(x) for x in _kinds)
-#: Words whose codes a task keeps.
+#: Words whose codes a task keeps from one text to the next.
 CACHE_WORDS = 400_000
-_codes: dict[str, tuple[int, str]] = {}
 
 
 def _literal(word: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def code(word: str) -> tuple[int, str]:
-    """A token's code and its kind: '' (literal), u (literal, a unit after a number), n, q or c (placeholders)."""
+#: Kinds of tokens: literal, literal that is a unit after a number, placeholders.
+LITERAL_WORD, UNIT_WORD, NUMBER_SLOT, OTHER_SLOT = range(4)
+
+
+def code(word: str) -> tuple[int, int, int]:
+    """A token's code in the template, its kind, and its code as a plain case-folded word."""
     bare = word.strip(_edges) or word
+    folded = bare.casefold()
+    plain = _literal(folded)
     if _number(bare):
-        return NUMBER, "n"
+        return NUMBER, NUMBER_SLOT, plain
     m = _quantity(bare)
     if m and m[1].lower() in UNITS:
-        return QUANTITY, "q"
+        return QUANTITY, OTHER_SLOT, plain
     if bare[0].isupper() and (len(bare) == 1 or bare[1:].islower()) and bare.isalpha():
-        return NAME, "c"
+        return NAME, OTHER_SLOT, plain
     low = bare.lower()
-    return _literal(low), "u" if low in UNITS else ""
+    return plain if low == folded else _literal(low), UNIT_WORD if low in UNITS else LITERAL_WORD, plain
+
+
+class _Known(dict):
+    """Words by their place in arrays of what code() says of them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        super().clear()
+        self.codes, self.kinds, self.plain = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.codes):
+            self.codes, self.kinds, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.kinds, self.plain))
+        self.codes[at], self.kinds[at], self.plain[at] = code(word)
+        return at
+
+
+_codes = _Known()
 
 
 class Template:
     def __init__(self, text: str):
-        known = _codes
+        if len(_codes) >= CACHE_WORDS:
+            _codes.clear()
         self.words = text.split()
-        pairs = []
-        for w in self.words:
-            c = known.get(w)
-            if c is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                c = known[w] = code(w)
-            pairs.append(c)
-        self.codes = np.fromiter((c for c, _ in pairs), np.uint64, len(pairs))
-        kinds = [k for _, k in pairs]
-        slot = np.fromiter((k != "" and k != "u" for k in kinds), bool, len(kinds))
-        if "u" in kinds and ("n" in kinds):
-            for i in range(1, len(kinds)):
-                if kinds[i] == "u" and kinds[i - 1] == "n":
-                    self.codes[i] = UNIT
-                    slot[i] = True
-        self.slots = slot
+        places = np.fromiter(map(_codes.__getitem__, self.words), np.int64, len(self.words))
+        self.codes, self.plain, kinds = _codes.codes[places], _codes.plain[places], _codes.kinds[places]
+        self.slots = kinds >= NUMBER_SLOT
+        units = np.flatnonzero((kinds[1:] == UNIT_WORD) & (kinds[:-1] == NUMBER_SLOT)) + 1
+        self.codes[units] = UNIT
+        self.slots[units] = True
+
+    def bare(self, i: int) -> str:
+        return self.words[i].strip(_edges) or self.words[i]
 
     def value(self, i: int) -> str:
-        return (self.words[i].strip(_edges) or self.words[i]).lower()
+        return self.bare(i).lower()
+
+    def one_case(self, first: int, n: int) -> bool:
+        words = [self.bare(i) for i in range(first, first + n)]
+        return any(all(w == f(w) for w in words) for f in (str.upper, str.lower, str.capitalize))
+
 
-    def windows(self, n: int) -> np.ndarray:
-        """The hash of each window of n tokens."""
-        count = len(self.codes) - n + 1
-        if count <= 0:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(count, np.uint64)
-        for k in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + self.codes[k : k + count]
-        return mix64(out)
+def windows(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each window of n tokens."""
+    count = len(codes) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += codes[k : k + count]
+    return mix64(out)
 
 
 class Items:
-    """A block of the benchmark by the windows of its templates."""
+    """A block of the benchmark by the windows of its templates and of its plain words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.templates: dict[int, Template] = {}
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        forms: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        plain: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, (item, text) in enumerate(rows):
             t = Template(text or "")
             if len(t.codes) < LEAST:
@@ -111,44 +138,58 @@ class Items:
             self.templates[k] = t
             n = min(WINDOW, len(t.codes))
             literal = np.cumsum(np.concatenate([[0], ~t.slots]))
-            for i, h in enumerate(t.windows(n).tolist()):
+            for i, h in enumerate(windows(t.codes, n).tolist()):
                 if literal[i + n] - literal[i] >= LITERAL * n:
-                    found.setdefault(n, {}).setdefault(h, []).append((k, i))
+                    forms.setdefault(n, {}).setdefault(h, []).append((k, i))
+            for i, h in enumerate(windows(t.plain, n).tolist()):
+                plain.setdefault(n, {}).setdefault(h, []).append((k, i))
         self.ids = [item for item, _ in rows]
-        self.by_size = {n: (np.sort(np.fromiter(x, np.uint64, len(x))), x) for n, x in found.items()}
+        self.forms, self.plain = ({n: (np.sort(np.fromiter(x, np.uint64, len(x))), x) for n, x in found.items()} for found in (forms, plain))
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, first word, words) of each consistent run that is long enough."""
-        if not self.by_size:
+        if not self.templates:
             return []
         t = Template(text)
+        forms, plain = self._starts(self.forms, t.codes), self._starts(self.plain, t.plain)
+        found = [x for (k, shift), starts in forms.items() for x in self._runs(t, k, shift, starts)]
+        for (k, shift), starts in plain.items():
+            runs = self._runs(t, k, shift, starts, plain=True)
+            found += [x for x in runs if len(self.templates[k].codes) >= RUN or t.one_case(x[1], x[2])]
+        return list(dict.fromkeys(found))
+
+    @staticmethod
+    def _starts(by_size, codes: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """By item and shift: where the item's windows that the text has begin."""
         runs: dict[tuple[int, int], list[int]] = {}
-        for n, (hashes, places) in self.by_size.items():
-            own = t.windows(n)
+        for n, (hashes, places) in by_size.items():
+            own = windows(codes, n)
             if not len(own):
                 continue
             near = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             for at in np.flatnonzero(hashes[near] == own).tolist():
                 for k, i in places[int(own[at])]:
                     runs.setdefault((k, at - i), []).append(i)
-        return [x for (k, shift), starts in runs.items() for x in self._runs(t, k, shift, starts)]
+        return runs
 
-    def _runs(self, t: Template, k: int, shift: int, starts: list[int]):
+    def _runs(self, t: Template, k: int, shift: int, starts: list[int], plain: bool = False):
+        """plain: the windows are those of plain words, equal in all their slots."""
         item = self.templates[k]
+        slots = np.zeros(len(item.codes), bool) if plain else item.slots
         n = min(WINDOW, len(item.codes))
         need = min(RUN, len(item.codes))
         covered = sorted({i + o for i in starts for o in range(n)})
         first, forth, back, last = None, {}, {}, None
         for i in [*covered, None]:
             fits = i is not None and last is not None and i == last + 1
-            if i is not None and item.slots[i]:
+            if i is not None and slots[i]:
                 kind, a, b = int(item.codes[i]), item.value(i), t.value(i + shift)
                 fits = fits and forth.get((kind, a), b) == b and back.get((kind, b), a) == a
             if not fits:
                 if first is not None and last - first + 1 >= need:
                     yield self.ids[k], first + shift, last - first + 1
                 first, forth, back = i, {}, {}
-            if i is not None and item.slots[i]:
+            if i is not None and slots[i]:
                 forth[kind, a], back[kind, b] = b, a
             last = i
 

@@ -66,6 +66,17 @@ def test_templates(spark, odd, none):
     assert decontaminate.benchmark_hits(odd, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_copies_in_another_case(spark):
+    german = "Große Straßen führen alle nach Rom und Oslo"
+    bench = spark.createDataFrame([*ITEMS, (5, german)], "item_id long, text string")
+    docs = [(10 * i + k, f"Intro WORDS {f(t)} end") for i, t in ((1, ITEMS[0][1]), (2, ITEMS[1][1]), (5, german)) for k, f in enumerate((str.upper, str.lower, str.title))]
+    docs.append((13, ITEMS[0][1].swapcase()))
+    df = spark.createDataFrame([*docs, (90, ITEMS[0][1].upper().replace("LEAVES", "X").replace("MINUTES", "X"))], "doc_id long, text string")
+    hits = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate.benchmark_hits(df, bench).collect()}
+    assert hits == {d: {d // 10} for d, _ in docs} | {90: set()}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {90}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
