@@ -20,7 +20,6 @@ judged alike; without a benchmark all is clean; columns other than doc_id and te
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,33 +205,32 @@ def _blocks(benchmark: DataFrame):
         yield rows
 
 
+HIT = "array<struct<item_id: long, first: long, words: long>>"
+
+
 def _match(shared):
     def match(batches):
         items = Items(shared.value)
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("words", pa.int64())]))
         for batch in batches:
-            out = [], [], []
-            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-                out[0].append(doc)
-                out[1].append(mark)
-                out[2].append([{"item_id": i, "first": a, "words": n} for i, a, n in items.hits(text)])
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), kind), strict=True)], ["doc_id", "mark", "hits"])
+            place = batch.schema.get_field_index("hits")
+            out = []
+            for text, before in zip(batch.column("text").to_pylist(), batch.column(place).to_pylist(), strict=True):
+                out.append(before + [{"item_id": i, "first": a, "words": n} for i, a, n in items.hits(text)])
+            columns = [pa.array(out, kind) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
         _codes.clear()  # a worker that waits for other tasks holds no words
 
     return match
 
 
-HITS = "doc_id long, mark long, hits array<struct<item_id: long, first: long, words: long>>"
-
-
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and block of the benchmark: doc_id, mark (tells texts apart) and hits."""
-    rows = texts(docs).withColumn("mark", text_key())
+    """A row for each document: doc_id, mark (tells texts apart) and hits, of all blocks of the benchmark."""
+    rows = texts(docs).withColumn("mark", text_key()).withColumn("hits", F.array().cast(HIT))
     share = docs.sparkSession.sparkContext.broadcast
-    parts = [rows.mapInArrow(_match(share(block)), HITS) for block in _blocks(benchmark)]
-    if not parts:
-        return rows.select("doc_id", "mark", F.array().cast("array<struct<item_id: long, first: long, words: long>>").alias("hits"))
-    return reduce(DataFrame.unionByName, parts)
+    for block in _blocks(benchmark):
+        rows = rows.mapInArrow(_match(share(block)), f"doc_id long, text string, mark long, hits {HIT}")
+    return rows.select("doc_id", "mark", "hits")
 
 
 def _clean(shared):

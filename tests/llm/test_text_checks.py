@@ -90,6 +90,15 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
 
 
+def test_query_over_blocks(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(decontaminate.op5_query(spark, sf).collect())
+    assert len(whole) == spark.read.parquet(f"{sf}/documents.parquet").count() and any(r.contaminated for r in whole)
+    n = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", -(-n // 3))
+    assert sorted(decontaminate.op5_query(spark, sf).collect()) == whole
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     out = {r.doc_id: r for r in quality.op3_query(spark, sf).collect()}
