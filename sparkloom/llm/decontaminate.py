@@ -8,7 +8,8 @@ values of the text and different ones for different ones. A text is contaminated
 whole item where that is shorter. Re-parameterised questions are found that way, since their templates are equal. Each item is
 also joined by its plain words, case-folded and without placeholders, under the same WINDOW and RUN: copies that differ in case,
 whose templates differ, are found that way. Of an item of under RUN tokens such a copy counts if it is in one case throughout
-(capitals, lower case or titled): few words of which one differs in case are no copy.
+(capitals, lower case or titled) or in the item's own: few words of which one differs in case are no copy. Windows with too few
+literal tokens are thus joined by their plain words only, and a run may go on from windows of the one kind to those of the other.
 
 The benchmark is the query set: it goes through the texts in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES of text, each
 broadcast, so the texts are never shuffled.
@@ -154,9 +155,14 @@ class Items:
         found = [x for (k, shift), starts in forms.items() for x in self._runs(t, k, shift, starts)]
         for (k, shift), starts in plain.items():
             runs = self._runs(t, k, shift, starts, plain=True)
-            found += [x for x in runs if len(self.templates[k].codes) >= RUN or t.one_case(x[1], x[2])]
+            found += [x for x in runs if len(self.templates[k].codes) >= RUN or t.one_case(x[1], x[2]) or self._same_case(t, k, shift, x[1], x[2])]
+            if (k, shift) in forms:
+                found += self._runs(t, k, shift, forms[k, shift] + starts)
         return list(dict.fromkeys(found))
 
+    def _same_case(self, t: Template, k: int, shift: int, first: int, n: int) -> bool:
+        return all(t.bare(i) == self.templates[k].bare(i - shift) for i in range(first, first + n))
+
     @staticmethod
     def _starts(by_size, codes: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """By item and shift: where the item's windows that the text has begin."""

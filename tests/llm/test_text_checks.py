@@ -90,6 +90,16 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
 
 
+def test_items_dense_in_slots():
+    items = [(1, "12 + 7 = 19 and 30 - 4 = 26 and 8 * 9 = 72"), (2, "Did Anna meet Boris in Oslo?"), (3, "Anna Boris Carla Dario Elena Fritz Greta Heinz Irene Jonas Karla Linus Marta"), (4, "a box of 40 red and green marbles 5 6 7 8 9 10 11 12")]
+    index = decontaminate.Items(items)
+    for item, text in items:
+        assert {h[0] for h in index.hits(f"intro {text} end")} == {item}
+    # under 13 words by templates (11) and by plain words (12), 16 by both
+    assert index.hits(items[3][1].replace("40", "41")) == [(4, 0, 16)]
+    assert index.hits("Did ANNA meet Boris in Oslo?") == index.hits("Did Anna meet Carla in Oslo?") == []
+
+
 def test_query_over_blocks(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     whole = sorted(decontaminate.op5_query(spark, sf).collect())
