@@ -127,9 +127,10 @@ def _union(n: int, pairs) -> np.ndarray:
 
 
 def _two(table: pa.Table):
-    """A unit's rows by side; a unit of one block has only side 0."""
+    """A unit's rows by side, and whether it is of one block, which has only side 0; either of two blocks may be empty."""
     side = table.column("side").to_numpy()
-    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    _, low, high = table.column("unit")[0].as_py().rsplit(":", 2)
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), low == high
 
 
 def _values(table: pa.Table) -> np.ndarray:
@@ -138,14 +139,13 @@ def _values(table: pa.Table) -> np.ndarray:
 
 def _link(least: list[int]):
     def link(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
         ids, values = table.column("id").to_numpy(), _values(table)
-        order = np.argsort(ids, kind="stable")
-        ids, values, side = ids[order], values[order], table.column("side").to_numpy()[order]
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(two):
-            pairs = ((one[x], two[y]) for x, y in _survivors(values[one], values[two], False, least))
-        else:
+        one, two, alone = _two(table)
+        if alone:
             pairs = _survivors(values, values, True, least)
+        else:
+            pairs = ((one[x], two[y]) for x, y in _survivors(values[one], values[two], False, least))
         root = _union(len(ids), pairs)
         moved = root != np.arange(len(ids))
         return pa.table({"a": ids[moved], "b": ids[root[moved]]})
@@ -193,13 +193,13 @@ def _verify(least: list[int], threshold: float):
         table = table.take(pa.array(order))
         ids, values, weight = table.column("id").to_numpy(), _values(table), table.column("n_rows").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
-        one, two = _two(table)
-        first, second = (one, two) if len(two) else (one, one)
+        one, two, alone = _two(table)
+        first, second = (one, one) if alone else (one, two)
         own = [sets[i] for i in first]
-        other = [sets[i] for i in second] if len(two) else own
+        other = own if alone else [sets[i] for i in second]
         n_links, linked = np.zeros(len(ids), np.int64), []
         sizes = np.array([len(s) for s in sets], np.int64)
-        for left, right in _gathered(_survivors(values[first], values[second], not len(two), least)):
+        for left, right in _gathered(_survivors(values[first], values[second], alone, least)):
             x, y = first[left], second[right]
             common = _overlaps(own, other, left, right)
             near = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9

@@ -126,6 +126,18 @@ def test_large_groups_in_blocks(spark, monkeypatch):
         assert got == want
 
 
+def test_groups_with_empty_blocks(spark, monkeypatch):
+    rows = []
+    for g in range(30):
+        words = prose(g, 90).split()
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-1], "changed"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "RUNS_A_SET", 50)
+    got = sorted(((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(df).collect()), key=repr)
+    assert got == linked(rows) and {n for _, _, n in got} == {1}
+
+
 def test_least_matches():
     need = ngram_join.least_matches(0.8, 1e-6)
     assert len(need) == ngram_join.HASHES // ngram_join.STEP and need == sorted(need) and need[-1] < 0.8 * ngram_join.HASHES
