@@ -222,6 +222,58 @@ def live_stats(spark, sf_dir):
     return versions.live_stats(_versions(spark, sf_dir), 700)
 
 
+# the same over the whole table: timestamps, keys and spans are taken from it
+WHOLE = V.replace("ts <= 700", "ts <= (SELECT max(event_id) FROM events)")
+MIDDLE = "(SELECT (min(event_id) + max(event_id)) // 2 FROM events)"
+
+
+def _newest(v: DataFrame) -> tuple[int, int]:
+    """The timestamps in the middle and at the end of a table of versions."""
+    r = v.agg(F.min("commit_ts").alias("least"), F.max("commit_ts").alias("most")).first()
+    return (0, 0) if r.most is None else ((r.least + r.most) // 2, r.most)
+
+
+@frame("mvcc_latest_whole", WHOLE + "SELECT key, value FROM live")
+def mvcc_latest_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    return versions.latest(v, _newest(v)[1])
+
+
+@frame("mvcc_scan_whole", WHOLE + "SELECT key, value FROM live ORDER BY key")
+def mvcc_scan_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    return versions.scan(v, "", "", _newest(v)[1])
+
+
+@frame("mvcc_overlay_whole", WHOLE + ", " + OWN + "SELECT key, value FROM live WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT key, value FROM o WHERE value IS NOT NULL")
+def mvcc_overlay_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 2 = 0").select("user_id").distinct()
+    own = e.select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.when(F.col("user_id") % 3 == 0, "mine").alias("value"))
+    return versions.overlay(versions.latest(v, _newest(v)[1]), own)
+
+
+@frame("live_stats_whole", WHOLE + "SELECT count(*) AS n_keys, coalesce(sum(length(key) + length(value)), 0)::BIGINT AS n_bytes, (SELECT key FROM live ORDER BY key LIMIT 1 OFFSET (SELECT count(*) // 2 FROM live)) AS median_key FROM live")
+def live_stats_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    return versions.live_stats(v, _newest(v)[1])
+
+
+@frame("write_conflicts_whole", f"SELECT DISTINCT 'u' || lpad(user_id::VARCHAR, 6, '0') AS key FROM events WHERE event_id > {MIDDLE}")
+def write_conflicts_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    return versions.write_conflicts(v.select("key").distinct(), v, spark.createDataFrame([], "key string, txn_id string"), _newest(v)[0], "t")
+
+
+@frame("read_conflicts_whole", f"WITH s AS (SELECT DISTINCT user_id // 100 AS h FROM events) SELECT 'u' || lpad((h * 100)::VARCHAR, 6, '0') AS span_start, 'u' || lpad((h * 100 + 100)::VARCHAR, 6, '0') AS span_end FROM s WHERE h IN (SELECT user_id // 100 FROM events WHERE event_id > {MIDDLE})")
+def read_conflicts_whole(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    hundred = F.floor(F.substring("key", 2, 6).cast("long") / 100) * 100
+    name = lambda n: F.concat(F.lit("u"), F.lpad(n.cast("string"), 6, "0"))
+    spans = v.select(hundred.alias("h")).distinct().select(name(F.col("h")).alias("span_start"), name(F.col("h") + 100).alias("span_end"))
+    return versions.read_conflicts(spans, v, spark.createDataFrame([], "key string, txn_id string"), *_newest(v), "t")
+
+
 # --- checks
 @frame("bidirectional_check", "SELECT l_orderkey AS src, 'L' AS type, l_partkey AS dst, min(l_linenumber)::BIGINT AS rank, CASE WHEN l_orderkey % 11 = 0 THEN 'no incoming entry' ELSE 'values differ' END AS violation FROM lineitem WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0 GROUP BY l_orderkey, l_partkey")
 def bidirectional_check(spark, sf_dir):

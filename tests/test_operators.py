@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import catalog
 from sparkloom.errors import DataError, SerializationConflict, Unavailable
 from sparkloom.operators import checks, versions
 from sparkloom.session import Session, query
@@ -160,3 +162,16 @@ def test_ends_that_are_told_save_scans(spark):
     s = Session(g)
     s.execute("MATCH (p:P {id: 1}) REMOVE p:P")
     assert s.execute("MATCH (p:P)-[:LIVES]->(t) RETURN p.id").collect() == [(2,)]
+
+
+@pytest.mark.parametrize("name", ["mvcc_latest_whole", "mvcc_scan_whole", "mvcc_overlay_whole", "live_stats_whole", "write_conflicts_whole", "read_conflicts_whole"])
+def test_versioned_keys_of_the_whole_table(spark, name):
+    con = duckdb.connect()
+    con.sql("create view events as select * from '/root/testdata/sf0.01/events.parquet'")
+    make, sql = catalog.Q[name]
+    want = con.sql(sql)
+    df = make(spark, "/root/testdata/sf0.01")
+    assert sorted(tuple(r[c] for c in want.columns) for r in df.collect()) == sorted(want.fetchall())
+    if name == "mvcc_latest_whole":
+        latest = "select count(*) from (select user_id, arg_max(event_type, event_id) t from events group by 1) where t <> 'error'"
+        assert df.count() == con.sql(latest).fetchall()[0][0]
