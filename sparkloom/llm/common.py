@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,48 @@ def unstash(*tables: DataFrame) -> None:
         fs.delete(path, True)
 
 
+#: What a worker forgets when a task ends: functions that the modules with caches add.
+caches: list = []
+
+
+def release() -> None:
+    """Gives memory that a task of Python no longer uses back to the system."""
+    for forget in caches:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def tidy(run):
+    """run, a function of batches, after which a worker that waits for other tasks holds no memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run, large: int = 4 << 20):
+    """run, a function of one or two tables, after which the memory of large ones is given back."""
+
+    def tidied(*tables):
+        try:
+            return run(*tables)
+        finally:
+            if sum(t.nbytes for t in tables) >= large:
+                release()
+
+    # Spark looks at the number of arguments
+    return (lambda one: tidied(one)) if run.__code__.co_argcount == 1 else (lambda one, two: tidied(one, two))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -92,6 +137,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+#: Letters up to which the powers are kept from one task to the next.
+_KEPT_POWERS = 1 << 17
+caches.append(lambda: _powers.clear() if _powers and len(_powers[0]) > _KEPT_POWERS + 1 else None)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,9 @@ A letter without a piece is written as the byte pieces of its UTF-8 form and cos
 text gets a space in front, spaces are the model's space mark, and nothing else is normalised; a literal space mark is written
 in bytes, so that decoding returns every text as it was. This is the lattice's optimum by piece scores, not the library's merges.
 
-Cases: a null or empty text is one space piece; among equal scores the search's order decides, the same on every run; a
-text may have fewer than N segmentations; repeated rows are answered alike; an empty table gives an empty result; columns other
+Cases: a null or empty text is one space piece; the best segmentation is that of which, from the end, the shortest piece was
+taken among equal scores, for the others the search's order decides: both depend on the chunk alone; long runs of one letter
+cost time in proportion to their length; a text may have fewer than N segmentations; repeated rows are answered alike; an empty table gives an empty result; columns other
 than doc_id and text are not read.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, texts
+from .common import caches, load, texts, tidy
 
 #: Chunks that a task keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
 CACHE_CHUNKS, CACHE_SEARCHES, LONG = 250_000, 20_000, 48
@@ -34,6 +35,8 @@ UNKNOWN_COST = 10.0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, "PieceModel"] = {}
 _chunks = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
+# a worker that waits for other tasks holds no chunks
+caches.append(lambda: [(m.known.clear(), m.searched.clear()) for m in _models.values()])
 
 
 def model(path: str) -> "PieceModel":
@@ -92,11 +95,13 @@ class PieceModel:
         return self
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score, ids) of the chunk's n best segmentations, the best first."""
+        """(score, ids) of the chunk's n best segmentations, the best first: that of the forward pass, where among equal
+        scores the shortest last piece wins, as in _viterbi(). Others of equal score are met in the order of the search."""
         size = len(chunk)
         forward = [-1e300] * (size + 1)
         forward[0] = 0.0
         arcs: list[list] = [[] for _ in range(size + 1)]
+        came: list[tuple] = [()] * (size + 1)
         entries = self.entries
         missing = object()
         for i in range(size):
@@ -107,31 +112,48 @@ class PieceModel:
                     break
                 if e is not None:
                     single = single or j == i + 1
-                    arcs[j].append((i, e[0], (e[1],)))
-                    if here + e[0] > forward[j]:
-                        forward[j] = here + e[0]
+                    arc = (i, e[0], (e[1],))
+                    arcs[j].append(arc)
+                    if here + e[0] >= forward[j]:
+                        forward[j], came[j] = here + e[0], arc
             if not single:
                 cost = self.worst - UNKNOWN_COST
-                ids = tuple(self.bytes_of[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
-                arcs[i + 1].append((i, cost, ids))
-                if here + cost > forward[i + 1]:
-                    forward[i + 1] = here + cost
-        out, heap, made = [], [(-forward[size], 0, size, 0.0, None)], 0
-        while heap:
-            _, _, at, after, path = heapq.heappop(heap)
+                arc = (i, cost, tuple(self.bytes_of[b] for b in chunk[i].encode("utf-8", "surrogatepass")))
+                arcs[i + 1].append(arc)
+                if here + cost >= forward[i + 1]:
+                    forward[i + 1], came[i + 1] = here + cost, arc
+        best, at = [], size
+        while at:
+            best.append(came[at][2])
+            at = came[at][0]
+        first = (forward[size], tuple(x for ids in reversed(best) for x in ids))
+        return [first, *self._search(size, arcs, forward, n, first)][:n] if n > 1 else [first]
+
+    @staticmethod
+    def _search(size: int, arcs, forward, n: int, first) -> list:
+        """Backward A-star search for the n best ways, but for the first. Ways are taken up by their score, of equal ones that
+        nearest to the start: ties are followed to their end, one at a time. No place is left more than n times, since what the
+        n best ways have behind a place are its n best ends."""
+        # scores that differ by rounding alone are equal
+        out, heap, made = [], [(round(-forward[size], 6), size, 0, 0.0, None)], 0
+        left = [0] * (size + 1)
+        while heap and len(out) < n:
+            _, at, _, after, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
                     ids.extend(path[0])
                     path = path[1]
                 out.append((after, tuple(ids)))
-                if len(out) == n:
-                    break
+                continue
+            left[at] += 1
+            if left[at] > n:
                 continue
             for i, cost, ids in arcs[at]:
-                made += 1
-                heapq.heappush(heap, (-(after + cost + forward[i]), made, i, after + cost, (ids, path)))
-        return out
+                if left[i] < n:
+                    made += 1
+                    heapq.heappush(heap, (round(-(after + cost + forward[i]), 6), i, made, after + cost, (ids, path)))
+        return sorted((way for way in out if way[1] != first[1]), key=lambda way: -way[0])
 
     def _learn(self, chunks: set[str]) -> None:
         """Finds (best score, its ids as bytes, what the second best segmentation loses) of chunks."""
@@ -139,7 +161,7 @@ class PieceModel:
         for c in chunks:
             by_size.setdefault(len(c), []).append(c)
         for size, same in by_size.items():
-            step = max(64, 200_000 // size)
+            step = max(1, 200_000 // size)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
                 if size > LONG:
@@ -210,10 +232,8 @@ class PieceModel:
         """(loss, ids) of the n - 1 segmentations after the best one, by A-star search."""
         found = self.searched.get((n, chunk))
         if found is None:
-            best, ids, _ = self.known[chunk]
-            first = tuple(np.frombuffer(ids, "<u2").tolist())
-            # where scores are equal the search may meet the best one later
-            found = [(best - score, way) for score, way in self.nbest(chunk, n) if way != first][: n - 1]
+            best = self.known[chunk][0]
+            found = [(best - score, way) for score, way in self.nbest(chunk, n)[1:]]
             if len(self.searched) >= CACHE_SEARCHES:
                 self.searched.clear()
             if len(chunk) <= LONG:
@@ -250,6 +270,20 @@ class PieceModel:
                     out.append((total - loss, written))
                 yield b"".join(parts), out
 
+    @staticmethod
+    def swapped(ids: bytes, swaps) -> np.ndarray:
+        """The ids of another segmentation, from the best one's."""
+        best, parts, at = np.frombuffer(ids, "<u2"), [], 0
+        for first, gone, come in swaps:
+            parts += [best[at:first], np.array(come, "<u2")]
+            at = first + gone
+        return np.concatenate([*parts, best[at:]])
+
+    def same_text(self, ids: bytes, swaps) -> bool:
+        """Whether what comes is written as what goes is."""
+        best, written = np.frombuffer(ids, "<u2"), self.written
+        return all(b"".join(written[i] for i in best[first : first + gone].tolist()) == b"".join(written[i] for i in come) for first, gone, come in swaps)
+
     def decode(self, ids: bytes) -> str:
         written = self.written
         return b"".join([written[i] for i in np.frombuffer(ids, "<u2").tolist()]).decode("utf-8", "replace")[1:]
@@ -293,7 +327,12 @@ def apply_swaps(ids: list[int], swaps) -> list[int]:
     return out + ids[at:]
 
 
+def _checksum(ids: bytes | np.ndarray) -> int:
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
 _SWAP = "array<struct<first: int, gone: int, come: array<int>>>"
+_SWAP_TYPE = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("gone", pa.int32()), ("come", pa.list_(pa.int32()))])))
 RESULT = f"doc_id long, n_pieces long, ids binary, scores array<double>, swaps array<{_SWAP}>"
 
 
@@ -303,36 +342,54 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
 
     def run(batches):
         m = model(model_path)
-        swap = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("gone", pa.int32()), ("come", pa.list_(pa.int32()))])))
         for batch in batches:
             ids, scores, swaps = [], [], []
             for best, ways in m.encode_all(batch.column("text").to_pylist(), n):
                 ids.append(best)
                 scores.append([s for s, _ in ways])
                 swaps.append([[dict(zip(("first", "gone", "come"), x, strict=True)) for x in w] for _, w in ways])
-            arrays = [batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(swaps, swap)]
+            arrays = [batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(swaps, _SWAP_TYPE)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "ids", "scores", "swaps"])
-        # a worker that waits for other tasks holds no chunks
-        m.known.clear()
-        m.searched.clear()
 
-    return texts(docs).mapInArrow(run, RESULT)
+    return texts(docs).mapInArrow(tidy(run), RESULT)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, text, and the CRC-32 of the ids as little-endian 32-bit numbers."""
+    """The rows with decoded, the text of ids, in place of ids, and ids_crc32, the CRC-32 of the ids as little-endian 32-bit numbers."""
 
     def run(batches):
         m = model(model_path)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
             kept = [c for c in batch.schema.names if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([m.decode(x) for x in ids], pa.string()), pa.array(crc, pa.int64())], [*kept, "decoded", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([m.decode(x) for x in ids], pa.string()), pa.array(map(_checksum, ids), pa.int64())], [*kept, "decoded", "ids_crc32"])
 
     kept = [f for f in encoded.schema.fields if f.name != "ids"]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "decoded string, ids_crc32 long"])
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
+
+
+ROUND_TRIP = "doc_id long, n_pieces long, scores array<double>, ids binary, ids_crc32 long, ways_crc32 array<long>, text_crc32 long, ways_decode boolean"
+
+
+def round_trip(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
+    """segment() and decode() in one pass: doc_id, n_pieces, scores, ids and ids_crc32 of the best segmentation, ways_crc32 (that
+    of each of the n best), text_crc32 of the text decoded from the best one's ids, and whether all ways decode to that text."""
+
+    def run(batches):
+        m = model(model_path)
+        for batch in batches:
+            rows = [[] for _ in range(7)]
+            for best, ways in m.encode_all(batch.column("text").to_pylist(), n):
+                own = [_checksum(m.swapped(best, swaps)) if swaps else _checksum(best) for _, swaps in ways]
+                fits = all(m.same_text(best, swaps) for _, swaps in ways)
+                text = m.decode(best).encode("utf-8", "surrogatepass")
+                for column, value in zip(rows, (len(best) // 2, [s for s, _ in ways], best, _checksum(best), own, zlib.crc32(text), fits), strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], [x.split()[0] for x in ROUND_TRIP.split(", ")])
+
+    return texts(docs).mapInArrow(tidy(run), ROUND_TRIP)
 
 
 def default_model() -> str:
@@ -342,8 +399,8 @@ def default_model() -> str:
 
 
 def op9_query(spark, sf_dir):
-    """doc_id, n_pieces, score, score_2, score_3 (null: fewer segmentations), ids_crc32 and text_crc32 of the decoded text."""
-    encoded = segment(load(spark, sf_dir, "documents"), default_model()).select("doc_id", "n_pieces", "scores", "ids")
-    out = decode(encoded, default_model())
-    scores = [F.get("scores", F.lit(k)).alias(f"score{'' if not k else f'_{k + 1}'}") for k in range(3)]
-    return out.select("doc_id", "n_pieces", *scores, "ids_crc32", F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"))
+    """doc_id, n_pieces, score, score_2, score_3 (null: fewer segmentations), the CRC-32 of each one's ids, text_crc32 of the text
+    decoded from the best one's, and ways_decode: whether the others decode to that text too."""
+    out = round_trip(load(spark, sf_dir, "documents"), default_model())
+    of = lambda c, name: [F.get(c, F.lit(k)).alias(f"{name}{'' if not k else f'_{k + 1}'}") for k in range(3)]
+    return out.select("doc_id", "n_pieces", *of("scores", "score"), *of("ways_crc32", "ids_crc32"), "text_crc32", "ways_decode")

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,44 @@ def test_nbest_against_all_segmentations(n):
         assert model.decode(best) == text
 
 
+def test_long_runs_and_ties():
+    """Equal letters have ways of equal score without number; time grows with the length."""
+    m = nbest_pieces.model(nbest_pieces.default_model())
+    began = time.time()
+    for text in ("-" * 20_000, "=" * 20_000, " " * 5_000, "x\n" + "*" * 5_000):
+        best, ways = m.encode(text, 3)
+        assert m.decode(best) == text and len({tuple(m.swapped(best, w).tolist()) for _, w in ways}) == 3
+        assert all(m.same_text(best, w) for _, w in ways)
+    assert time.time() - began < 30
+
+
+def test_best_way_is_that_of_both_searches():
+    r = random.Random(3)
+    model = nbest_pieces.PieceModel.of({"a": -1, "aa": -2, "aaa": -3, "b": -1, "ab": -2, "ba": -2, " ": -1, " a": -2})
+    for _ in range(60):
+        text = " " + "".join(r.choice("aab") for _ in range(r.randint(1, 12)))
+        model.known.clear()
+        assert model._viterbi([text], len(text)) == []
+        score, ids, loss = model.known[text]
+        ways = model.nbest(text, 2)
+        assert ways[0] == (score, tuple(np.frombuffer(ids, "<u2").tolist())) and loss == (ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf)
+
+
+def test_round_trip_in_one_pass(odd, odd_rows, none):
+    path = nbest_pieces.default_model()
+    m = nbest_pieces.model(path)
+    out = nbest_pieces.round_trip(odd, path).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = []
+    for d, text, *_ in odd_rows:
+        best, ways = m.encode(text or "", 3)
+        ids = np.frombuffer(best, "<u2").tolist()
+        assert all(m.decode(np.array(nbest_pieces.apply_swaps(ids, w), "<u2").tobytes()) == (text or "") for _, w in ways)
+        want.append((d, len(ids), crc(ids), [crc(nbest_pieces.apply_swaps(ids, w)) for _, w in ways], zlib.crc32((text or "").encode()), True))
+    assert sorted([(r.doc_id, r.n_pieces, r.ids_crc32, list(r.ways_crc32), r.text_crc32, r.ways_decode) for r in out], key=repr) == sorted(want, key=repr)
+    assert nbest_pieces.round_trip(none, path).count() == 0
+
+
 def test_segmentation_round_trip(odd, odd_rows, none):
     path = nbest_pieces.default_model()
     coded = nbest_pieces.segment(odd, path)
