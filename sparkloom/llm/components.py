@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import stash, unstash
 
 
-def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
-    """Links each node's neighbours to the least node among it and them: of the larger neighbours, or of the others."""
+def _stars(pairs: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
+    """Links each node's neighbours to the least node among it and them: of the larger neighbours, or of the others. And a written
+    table that this reads."""
     if larger:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -21,21 +22,24 @@ def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component) of every id in the edges (a, b): the component is its least id. Rounds grow with the logarithm of a
-    component's diameter; each round's links are a table of at most as many rows as there are edges."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in the edges (a, b): the component is its least id. Rounds go on until nothing changes; their number
+    grows with the logarithm of a component's diameter. Each round's links are a table of at most as many rows as there are edges."""
     pairs = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
-        fresh = stash(_stars(_stars(pairs, True), False), "edges")
-        sums = fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        unstash(pairs)
+    while True:
+        large, first = _stars(pairs, True)
+        # written, since it is read twice
+        large = stash(large, "edges")
+        small, second = _stars(large, False)
+        fresh = stash(small, "edges")
+        unstash(pairs, first, large, second)
         pairs = fresh
-        if tuple(sums) == last:
+        sums = tuple(fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sums == last:
             roots = pairs.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
             return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
-        last = tuple(sums)
-    raise RuntimeError("components did not settle")
+        last = sums

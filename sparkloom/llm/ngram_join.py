@@ -3,36 +3,42 @@
 Texts are sets of runs of five words. Texts with equal sets form one class from the start. Of different sets, those that share
 a band of their MinHash values are compared, a step of values at a time: with m of n values equal, the similarity has the
 posterior Beta(m + 1, n - m + 1), and the pair is dropped when its chance of reaching the threshold is below the tolerance.
-Surviving pairs stay within their task: a first pass over the bands keeps one edge for each set it joins to its group; the
-groups then gather each set once, and every pair in them that shares a band and survives is verified by the exact sets.
-Groups over BLOCK sets are dealt out as pairs of blocks. No pair leaves a task: a task gives each set's number of links.
+A first pass over the bands joins sets to groups by the pairs that survive; the groups then gather each set once, and their
+pairs that survive are verified by the exact sets. No pair leaves a task.
+
+Groups of more than a block are never compared whole to find out who belongs together: each member is first compared with the
+group's least (a star); only members that it does not reach are compared with all others, dealt out as pairs of blocks. Members
+that a star holds together need no comparison with each other, so a group of near copies costs as much as it has members. The
+numbers of links are another matter: each link has to be verified, so near_duplicates(links=True) deals out all pairs of a group.
 
 Runs of words are known by 64-bit hashes. A pair at the threshold shares no band with a chance of about 3e-6.
 
 Cases: a null or empty text has no run, links to nothing and is a class by itself; a text of one to four words has one run, all
 its words; rows that share a doc_id are rows of their own, whose class has the least doc_id of its rows; a null doc_id counts as
-the least; an empty table gives an empty result; columns other than doc_id and text are not read.
+the least, as -2**63, which stands for it: that number as a doc_id comes back as null; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, load, mix64, stash, texts, unstash
+from .common import Words, load, mix64, stash, texts, tidy, tidy_group, unstash
 from .components import connected_components
 
 RUN = 5
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 16
-#: Sets of a block, and runs that a block has for each of them at most, on average.
-BLOCK, RUNS_A_SET = 2048, 1000
+#: Sets of a block whose MinHash values are compared (about 1 MB); of one whose runs are, and the runs of such a block (about 4 MB).
+VALUES_BLOCK, BLOCK, RUNS_BLOCK = 2048, 512, 1 << 19
 #: Sets in groups up to this number (under 60 bytes each) go to every task that reads texts again; beyond, the texts are shuffled.
 BROADCAST_SETS = 500_000
 NO_DOC = -(1 << 63)
@@ -126,47 +132,72 @@ def _union(n: int, pairs) -> np.ndarray:
     return np.array([top(x) for x in range(n)], np.int64)
 
 
-def _two(table: pa.Table):
-    """A unit's rows by side, and whether it is of one block, which has only side 0; either of two blocks may be empty."""
-    side = table.column("side").to_numpy()
-    _, low, high = table.column("unit")[0].as_py().rsplit(":", 2)
-    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), low == high
-
-
 def _values(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
+class _Unit:
+    """A unit's rows by side. Kinds: "all" has one side, of which all pairs count; "star" has the hub on side 1; "rest" compares
+    side 0 with side 1, which may share members; "two" compares sides that do not."""
+
+    def __init__(self, table: pa.Table):
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        order = np.lexsort((ids, side))
+        # rows that share a doc_id and a text stand once
+        order = order[np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(side[order]) != 0)])]
+        self.table, self.ids, side = table.take(pa.array(order)), ids[order], side[order]
+        self.kind = table.column("unit")[0].as_py().split(":", 1)[0]
+        self.one, self.two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        self.values = _values(self.table)
+
+    def sides(self):
+        return (self.one, self.one) if self.kind == "all" else (self.one, self.two)
+
+    def survivors(self, least):
+        """Portions of pairs of rows that no step of values speaks against."""
+        first, second = self.sides()
+        if len(first) and len(second):
+            for left, right in _survivors(self.values[first], self.values[second], self.kind == "all", least):
+                x, y = first[left], second[right]
+                if self.kind in ("star", "rest"):
+                    own = self.ids[x] != self.ids[y]
+                    x, y = x[own], y[own]
+                yield x, y
+
+    def edges(self, pairs) -> pa.Table:
+        """An edge to the least member of its group for each member; the hub's name of a star stands in hub."""
+        known, place = np.unique(self.ids, return_inverse=True)
+        root = _union(len(known), ((place[x], place[y]) for x, y in pairs))
+        moved = root != np.arange(len(known))
+        a, b = known[moved], known[root[moved]]
+        grp = self.table.column("grp").to_numpy()[:1] if len(self.ids) else np.zeros(0, np.int64)
+        return pa.table({"a": a, "b": b, "grp": np.repeat(grp, len(a)), "star": np.full(len(a), self.kind == "star")})
+
+
 def _link(least: list[int]):
     def link(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
-        ids, values = table.column("id").to_numpy(), _values(table)
-        one, two, alone = _two(table)
-        if alone:
-            pairs = _survivors(values, values, True, least)
-        else:
-            pairs = ((one[x], two[y]) for x, y in _survivors(values[one], values[two], False, least))
-        root = _union(len(ids), pairs)
-        moved = root != np.arange(len(ids))
-        return pa.table({"a": ids[moved], "b": ids[root[moved]]})
+        unit = _Unit(table)
+        return unit.edges(unit.survivors(least))
 
     return link
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Common runs of each pair. Many pairs: by products of 0/1 matrices over the runs that two or more sets hold."""
-    if len(left) < 2000:
-        return np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
-    members = [*a] if a is b else [*a, *b]
-    every, place, times = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    common = times[place] > 1
-    column = (np.cumsum(times > 1) - 1)[place[common]]
+    if len(left) < 1000:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
+    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = place[: len(left)], place[len(left) :]
+    members = [sets[i] for i in used.tolist()]
+    every, column, times = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    del every
+    owner = np.repeat(np.arange(len(members), dtype=np.int32), [len(m) for m in members])
+    common = times[column] > 1
+    column = (np.cumsum(times > 1, dtype=np.int32) - 1)[column[common]]
     owner = owner[common]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     total = np.zeros(len(left), np.float64)
-    second = right if a is b else right + len(a)
     step = 2048
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         lo, hi = np.searchsorted(column, [at, at + step])
@@ -176,45 +207,79 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, right:
         grid = np.zeros((len(there), step), np.float32)
         grid[local[owner[lo:hi]], column[lo:hi] - at] = 1
         product = grid @ grid.T
-        x, y = local[left], local[second]
+        x, y = local[left], local[right]
         both = (x >= 0) & (y >= 0)
         total[both] += product[x[both], y[both]]
     return total.astype(np.int64)
 
 
+def _near(unit: _Unit, sets: list[np.ndarray], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float):
+    """Those of the pairs of rows whose sets reach the threshold."""
+    common = _overlaps(sets, x, y)
+    near = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9
+    return x[near], y[near]
+
+
+def _exact(unit: _Unit):
+    sets = [np.frombuffer(x, np.uint64) for x in unit.table.column("runs").to_pylist()]
+    return sets, np.array([len(s) for s in sets], np.int64)
+
+
+def _join(least: list[int], threshold: float):
+    """Edges of a unit by the exact sets. Pairs that others hold together already are not verified."""
+
+    def join(table: pa.Table) -> pa.Table:
+        unit = _Unit(table)
+        sets, sizes = _exact(unit)
+        _, place = np.unique(unit.ids, return_inverse=True)
+        root = np.arange(len(unit.ids))
+
+        def found():
+            nonlocal root
+            if unit.kind == "all" and len(root) > 2:  # a star first: near copies then need no further comparison
+                yield from keep(np.zeros(len(root) - 1, np.int64), np.arange(1, len(root)))
+            for x, y in _gathered(unit.survivors(least), 20_000):
+                apart = root[place[x]] != root[place[y]]
+                yield from keep(x[apart], y[apart])
+
+        def keep(x, y):
+            nonlocal root
+            x, y = _near(unit, sets, sizes, x, y, threshold)
+            held.append((place[x], place[y]))
+            root = _union(len(root), held)
+            held[:] = [(np.arange(len(root)), root)]
+            yield x, y
+
+        held: list = []
+        return unit.edges(found())
+
+    return join
+
+
 LINKS = "id long, n_links long, near long"
 
 
 def _verify(least: list[int], threshold: float):
+    """The number of links of a unit's members, and an edge for each to the least of its group."""
+
     def verify(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids = table.column("id").to_numpy()[order]
-        order = order[np.concatenate([[True], ids[1:] != ids[:-1]])]  # rows that share a doc_id and a text
-        table = table.take(pa.array(order))
-        ids, values, weight = table.column("id").to_numpy(), _values(table), table.column("n_rows").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
-        one, two, alone = _two(table)
-        first, second = (one, one) if alone else (one, two)
-        own = [sets[i] for i in first]
-        other = own if alone else [sets[i] for i in second]
-        n_links, linked = np.zeros(len(ids), np.int64), []
-        sizes = np.array([len(s) for s in sets], np.int64)
-        for left, right in _gathered(_survivors(values[first], values[second], alone, least)):
-            x, y = first[left], second[right]
-            common = _overlaps(own, other, left, right)
-            near = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9
-            x, y = x[near], y[near]
+        unit = _Unit(table)
+        sets, sizes = _exact(unit)
+        weight = unit.table.column("n_rows").to_numpy()
+        n_links, linked = np.zeros(len(unit.ids), np.int64), []
+        for x, y in _gathered(unit.survivors(least)):
+            x, y = _near(unit, sets, sizes, x, y, threshold)
             np.add.at(n_links, x, weight[y])
             np.add.at(n_links, y, weight[x])
             linked.append((x, y))
-        root = _union(len(ids), linked)
-        there = (n_links > 0) | (root != np.arange(len(ids)))
-        return pa.table({"id": ids[there], "n_links": n_links[there], "near": ids[root[there]]})
+        root = _union(len(unit.ids), linked)
+        there = (n_links > 0) | (root != np.arange(len(unit.ids)))
+        return pa.table({"id": unit.ids[there], "n_links": n_links[there], "near": unit.ids[root[there]]})
 
     return verify
 
 
-def _gathered(pairs, least: int = 200_000):
+def _gathered(pairs, least: int = 100_000):
     """Pairs in larger portions."""
     held, n = [], 0
     for left, right in pairs:
@@ -241,67 +306,128 @@ def _runs(run: int):
     return runs
 
 
-def _units(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
-    """Members (id, group) with unit and side: a small group is one unit, of a large one each pair of blocks is a unit."""
-    blocks = sizes.select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("id", F.lit(17)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.withColumn("other", other)
-    unit = F.concat_ws(":", F.col(group), F.least("block", "other"), F.greatest("block", "other"))
-    return spread.withColumn("unit", unit).withColumn("side", F.when(F.col("block") > F.col("other"), 1).otherwise(0)).drop("block", "other", "blocks")
+def _placed(members: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
+    """Members (id, grp) with blocks and block, of sizes (grp, blocks)."""
+    return members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int"))
+
+
+def _named(kind: str, *parts) -> Column:
+    return F.concat_ws(":", F.lit(kind), F.col("grp"), *parts).alias("unit")
+
+
+def _pairs_of_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, grp, unit, side): a small group is one unit, of a large one each pair of blocks is a unit."""
+    spread = _placed(members, sizes, 17).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    unit = F.when(low == high, _named("all", low)).otherwise(_named("two", low, high))
+    return spread.select("id", "grp", unit.alias("unit"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+
+
+def _stars(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, grp, unit, side): a small group is one unit, of a large one each block is, with the group's hub on side 1."""
+    placed = _placed(members, sizes, 17)
+    own = placed.select("id", "grp", F.when(F.col("blocks") == 1, _named("all")).otherwise(_named("star", F.col("block"))).alias("unit"), F.lit(0).alias("side"))
+    hubs = sizes.where("blocks > 1").select(F.col("hub").alias("id"), "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return own.unionByName(hubs.select("id", "grp", _named("star", F.col("block")), F.lit(1).alias("side")))
+
+
+def _rests(members: DataFrame, sizes: DataFrame, rest: DataFrame, rest_sizes: DataFrame) -> DataFrame:
+    """(id, grp, unit, side): the blocks of what a group's star left out, each with each block of the group."""
+    ways = rest_sizes.select("grp", F.col("blocks").alias("rest_blocks"))
+    whole = sizes.join(ways, "grp", "left_semi")
+    some = _placed(rest, rest_sizes, 29).join(whole.select("grp", F.col("blocks").alias("all_blocks")), "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    every = _placed(members, whole, 17).join(ways, "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
+    return some.select("id", "grp", _named("rest", F.col("block"), F.col("other")), F.lit(0).alias("side")).unionByName(every.select("id", "grp", _named("rest", F.col("other"), F.col("block")), F.lit(1).alias("side")))
+
+
+EDGES = "a long, b long, grp long, star boolean"
+
+
+def _components(members: DataFrame, sizes: DataFrame, rest_blocks, fill, compare, name: str) -> DataFrame:
+    """(id, component) by what compare finds, a written table: see _edges()."""
+    parts = _edges(members, sizes, rest_blocks, fill, compare, name)
+    found = stash(connected_components(reduce(DataFrame.unionByName, [p.select("a", "b") for p in parts])), "groups")
+    unstash(*parts)
+    return found
+
+
+def _edges(members: DataFrame, sizes: DataFrame, rest_blocks, fill, compare, name: str) -> list[DataFrame]:
+    """Tables of edges (a, b) that hold together what compare finds together in groups: members (id, grp), sizes (grp, blocks, hub).
+    fill adds the columns that compare reads; rest_blocks gives the blocks of the rest of a group."""
+    run = tidy_group(compare)
+    first = stash(fill(_stars(members, sizes)).groupBy("unit").applyInArrow(run, EDGES), name)
+    large = members.join(sizes.where("blocks > 1"), "grp").where("id <> hub").select("id", "grp")
+    reached = first.where("star").select(F.col("a").alias("id"), "grp").unionByName(first.where("star").select(F.col("b").alias("id"), "grp"))
+    rest = stash(large.join(reached, ["id", "grp"], "left_anti"), "rest")
+    if not rest.limit(1).count():
+        unstash(rest)
+        return [first]
+    rest_sizes = stash(rest_blocks(rest), "sizes")
+    second = stash(fill(_rests(members, sizes, rest, rest_sizes)).groupBy("unit").applyInArrow(run, EDGES), name)
+    unstash(rest, rest_sizes)
+    return [first, second]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, run: int = RUN) -> DataFrame:
-    """A row for each document: doc_id, class_id (least doc_id of the class), set_id (least doc_id with the same runs) and
-    n_links (other documents at the threshold or above)."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, run: int = RUN, links: bool = True) -> DataFrame:
+    """A row for each document: doc_id, class_id (least doc_id of the class), set_id (least doc_id with the same runs) and, where
+    links, n_links (other documents at the threshold or above)."""
     least = least_matches(threshold, tolerance)
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)))
-    known = stash(rows.mapInArrow(_sets(run), "doc_id long, same binary, n_runs int, values binary").withColumn("row", F.monotonically_increasing_id()), "known")
+    known = stash(rows.mapInArrow(tidy(_sets(run)), "doc_id long, same binary, n_runs int, values binary").withColumn("row", F.monotonically_increasing_id()), "known")
     full = known.where("n_runs > 0")
     sets = full.groupBy("same").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("set_id"))
     sets = stash(sets.join(full.select(F.col("row").alias("id"), F.col("doc_id").alias("of"), "n_runs", "values"), "id"), "sets")
     slim = stash(known.select("doc_id", "same", "n_runs"), "slim")
     unstash(known)
 
-    bands = stash(sets.select("id", "values").mapInArrow(_bands, "id long, band long"), "bands")
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("sum")).where("n > 1")
+    bands = stash(sets.select("id", "values").mapInArrow(tidy(_bands), "id long, band long"), "bands")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("sum")).where("n > 1")
     # bands that hold the same sets are gone through once
-    sizes = stash(sizes.groupBy("n", "lo", "sum").agg(F.min("band").alias("band")).select("band", "n"), "sizes")
-    members = _units(bands, "band", sizes).select("id", "unit", "side").join(sets.select("id", "values"), "id")
-    edges = stash(members.groupBy("unit").applyInArrow(_link(least), "a long, b long"), "near")
+    blocks = lambda n, size: F.ceil(n / size).cast("int").alias("blocks")
+    sizes = stash(sizes.groupBy("n", "hub", "sum").agg(F.min("band").alias("grp")).select("grp", "hub", blocks(F.col("n"), VALUES_BLOCK)), "sizes")
+    members = bands.withColumnRenamed("band", "grp").join(sizes.select("grp"), "grp", "left_semi")
+    fill = lambda units: units.join(sets.select("id", "values"), "id")
+    found = _components(members, sizes, lambda rest: rest.groupBy("grp").agg(blocks(F.count(F.lit(1)), VALUES_BLOCK)), fill, _link(least), "near")
+    groups = found.withColumnRenamed("component", "grp")
     unstash(bands, sizes)
 
-    groups = stash(connected_components(edges).withColumnRenamed("component", "grp"), "groups")
-    unstash(edges)
-    held = groups.join(sets.select("id", "n_runs"), "id").groupBy("grp")
-    group_sizes = held.agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n_runs") / RUNS_A_SET)).alias("n"))
+    held = stash(groups.join(sets.select("id", "n_runs"), "id"), "held")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_runs") / RUNS_BLOCK)).cast("int").alias("blocks")
+    group_sizes = stash(held.groupBy("grp").agg(parts).withColumn("hub", F.col("grp")), "sizes")
     wanted = stash(groups.select("id").join(sets.select("id", "of", "same"), "id").select(F.col("of").alias("doc_id"), "id", "same"), "wanted")
-    if wanted.count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
     # the runs of the sets in groups are computed again: of the others no one has any use for them
-    runs = rows.join(wanted, "doc_id").select("id", "same", "text").mapInArrow(_runs(run), "id long, runs binary")
-    units = _units(groups, "grp", group_sizes).select("id", "unit", "side")
-    units = units.join(sets.select("id", "n_rows", "values"), "id").join(runs, "id")
-    links = stash(units.groupBy("unit").applyInArrow(_verify(least, threshold), LINKS), "links")
-    classes = connected_components(links.select(F.col("id").alias("a"), F.col("near").alias("b")))
-
-    counted = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    links_of = F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1
-    placed = sets.select("id", "same", "set_id", "n_rows").join(counted, "id", "left").join(classes, "id", "left")
-    placed = stash(placed.select("same", "set_id", F.coalesce("component", "id").alias("component"), links_of.alias("n_links")), "placed")
+    runs = rows.join(near, "doc_id").select("id", "same", "text").mapInArrow(tidy(_runs(run)), "id long, runs binary")
+    fill_sets = lambda units: units.join(sets.select("id", "n_rows", "values"), "id").join(runs, "id")
+    if links:
+        linked = stash(fill_sets(_pairs_of_blocks(groups, group_sizes)).groupBy("unit").applyInArrow(tidy_group(_verify(least, threshold)), LINKS), "links")
+        classes = stash(connected_components(linked.select(F.col("id").alias("a"), F.col("near").alias("b"))), "classes")
+    else:
+        linked = None
+        rest_blocks = lambda rest: rest.join(held.select("id", "n_runs"), "id").groupBy("grp").agg(parts)
+        classes = _components(groups, group_sizes, rest_blocks, fill_sets, _join(least, threshold), "links")
+    unstash(wanted)
+
+    placed = sets.select("id", "same", "set_id", "n_rows").join(classes, "id", "left")
+    if links:
+        counted = linked.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        placed = placed.join(counted, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1)
+    counts = ["n_links"] if links else []
+    placed = stash(placed.select("same", "set_id", F.coalesce("component", "id").alias("component"), *counts), "placed")
     least_doc = stash(placed.groupBy("component").agg(F.min("set_id").alias("class_id")), "classes")
-    final = placed.join(least_doc, "component").select("same", "set_id", "class_id", "n_links")
-    unstash(sets, groups, links)
-    empty = slim.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
-    out = slim.where("n_runs > 0").select("doc_id", "same").join(final, "same").select("doc_id", "class_id", "set_id", "n_links").unionByName(empty)
+    final = placed.join(least_doc, "component").select("same", "set_id", "class_id", *counts)
+    unstash(sets, found, held, group_sizes, classes, *([linked] if links else []))
+    none = [F.lit(0).cast("long").alias("n_links")] if links else []
+    empty = slim.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), *none)
+    out = slim.where("n_runs > 0").select("doc_id", "same").join(final, "same").select("doc_id", "class_id", "set_id", *counts).unionByName(empty)
     null = lambda c: F.nullif(F.col(c), F.lit(NO_DOC)).alias(c)
-    return out.select(null("doc_id"), null("class_id"), null("set_id"), "n_links")
+    return out.select(null("doc_id"), null("class_id"), null("set_id"), *counts)
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents with all their columns, one of each class: that of the least doc_id (a null one is the least)."""
     rows = stash(docs.select(F.struct(*docs.columns).alias("document")).withColumn("row", F.monotonically_increasing_id()), "documents")
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")), threshold)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")), threshold, links=False)
     ids = rows.select(F.col("row").alias("doc_id"), F.coalesce(F.col("document.doc_id").cast("long"), F.lit(NO_DOC)).alias("of"))
     kept = found.join(ids, "doc_id").groupBy("class_id").agg(F.min(F.struct("of", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("row"))
     return rows.join(kept, "row", "left_semi").select("document.*")

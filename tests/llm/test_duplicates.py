@@ -121,9 +121,33 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     want = linked(rows)
     for block in (2048, 16):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "VALUES_BLOCK", block)
         monkeypatch.setattr(ngram_join, "BROADCAST_SETS", 0 if block == 16 else 500_000)
         got = sorted(((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(df).collect()), key=repr)
         assert got == want
+        # classes alone are found by stars and what these leave out
+        got = sorted((x.doc_id, x.class_id) for x in ngram_join.near_duplicates(df, links=False).collect())
+        assert got == sorted((d, c) for d, c, _ in want)
+
+
+def test_stars_of_wide_groups(spark, monkeypatch):
+    """Chains, in which most members are far from the hub, and many copies around it."""
+    r = random.Random(8)
+    rows = []
+    for g in range(4):
+        words = prose(g, 200).split()
+        for k in range(40):
+            rows.append((len(rows), " ".join(words)))
+            if g < 2 or k % 5 == 0:
+                for _ in range(3):
+                    words[r.randrange(len(words))] = prose(r.randrange(10**6), 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "VALUES_BLOCK", 9)
+    want = linked(rows)
+    assert len({c for _, c, _ in want}) < 40
+    assert sorted((x.doc_id, x.class_id) for x in ngram_join.near_duplicates(df, links=False).collect()) == sorted((d, c) for d, c, _ in want)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(df).collect()) == sorted(want)
 
 
 def test_groups_with_empty_blocks(spark, monkeypatch):
@@ -133,7 +157,7 @@ def test_groups_with_empty_blocks(spark, monkeypatch):
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-1], "changed"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    monkeypatch.setattr(ngram_join, "RUNS_A_SET", 50)
+    monkeypatch.setattr(ngram_join, "RUNS_BLOCK", 100)
     got = sorted(((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(df).collect()), key=repr)
     assert got == linked(rows) and {n for _, _, n in got} == {1}
 
