@@ -35,10 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, the scores of the best segmentations, the best one's ids, and whether they decode to the text."""
-    path = nbest_pieces.default_model()
-    encoded = nbest_pieces.segment(docs, path).select("doc_id", "n_pieces", "scores", "ids", F.col("ids").alias("piece_ids"))
-    return nbest_pieces.decode(encoded, path).select("doc_id", "n_pieces", "scores", F.col("piece_ids").alias("ids"), "ids_crc32", F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"))
+    """doc_id, n_pieces, the scores of the best segmentations, the best one's ids, and the CRC-32 of these and of the text that they
+    decode to. Every row of docs has one: a null or empty text is one space piece, repeated rows are answered alike."""
+    out = nbest_pieces.round_trip(docs, nbest_pieces.default_model())
+    return out.select("doc_id", "n_pieces", "scores", "ids", "ids_crc32", "text_crc32")
 
 
 STAGES = [
