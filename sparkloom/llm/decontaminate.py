@@ -2,20 +2,21 @@
 
 A token is a white-space separated word without punctuation at its ends. Numbers, quantities (a number with a unit attached),
 units after a number and capitalised words become placeholders, whatever stands around them; other words are lower-cased. A
-window of WINDOW tokens (a shorter item: all its tokens) of which enough are literal is joined by its hash. Windows of one item
-that continue one another form a run; a run counts while its slots are consistent: equal values of the item stand for equal
-values of the text and different ones for different ones. A text is contaminated by an item with a run of RUN tokens, or of the
-whole item where that is shorter. Re-parameterised questions are found that way, since their templates are equal. Each item is
-also joined by its plain words, case-folded and without placeholders, under the same WINDOW and RUN: copies that differ in case,
-whose templates differ, are found that way. Of an item of under RUN tokens such a copy counts if it is in one case throughout
-(capitals, lower case or titled) or in the item's own: few words of which one differs in case are no copy. Windows with too few
-literal tokens are thus joined by their plain words only, and a run may go on from windows of the one kind to those of the other.
+window of WINDOW tokens (a shorter item: all its tokens) of which enough are literal is joined by its hash, and so is every
+window of plain case-folded words. Where a window of the text meets one of an item, the two are laid upon each other: tokens fit
+if their templates or their plain words are equal, so a run goes on over numbers and names alone and through other case. A run
+counts while its slots are consistent: equal values of the item stand for equal values of the text and different ones for
+different ones; every longest consistent run is found, wherever a conflict lies. A text is contaminated by an item with a run of
+RUN tokens, or of the whole item where that is shorter. Re-parameterised questions are found that way, since their templates
+are equal, and copies that differ in case. Of an item of under RUN tokens a run that needs plain words counts if it is in one case
+throughout (capitals, lower case or titled) or in the item's own: few words of which one differs in case are no copy. An item of
+under LEAST tokens is met by a text that is that item and nothing else, in any case: so few words stand in any text by chance.
 
 The benchmark is the query set: it goes through the texts in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES of text, each
 broadcast, so the texts are never shuffled.
 
-Cases: a null or empty text is clean; a null or empty item, or one of under LEAST tokens, matches nothing; repeated rows are
-judged alike; without a benchmark all is clean; columns other than doc_id and text, item_id and text are not read.
+Cases: a null or empty text is clean; a null or empty item matches nothing; repeated rows are judged alike; without a benchmark
+all is clean; columns other than doc_id and text, item_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, mix64, text_key, texts
+from .common import caches, load, mix64, text_key, texts, tidy
 
 WINDOW, RUN, LEAST, LITERAL = 10, 13, 6, 0.6
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
@@ -87,6 +88,7 @@ class _Known(dict):
 
 
 _codes = _Known()
+caches.append(_codes.clear)
 
 
 class Template:
@@ -125,15 +127,18 @@ def windows(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Items:
-    """A block of the benchmark by the windows of its templates and of its plain words."""
+    """A block of the benchmark by the windows of its templates and of its plain words, short items by all their plain words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.templates: dict[int, Template] = {}
+        self.short: dict[bytes, list[int]] = {}
         forms: dict[int, dict[int, list[tuple[int, int]]]] = {}
         plain: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, (item, text) in enumerate(rows):
             t = Template(text or "")
             if len(t.codes) < LEAST:
+                if len(t.codes):
+                    self.short.setdefault(t.plain.tobytes(), []).append(item)
                 continue
             self.templates[k] = t
             n = min(WINDOW, len(t.codes))
@@ -147,26 +152,20 @@ class Items:
         self.forms, self.plain = ({n: (np.sort(np.fromiter(x, np.uint64, len(x))), x) for n, x in found.items()} for found in (forms, plain))
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, first word, words) of each consistent run that is long enough."""
-        if not self.templates:
-            return []
+        """(item_id, first word, words) of each longest consistent run that is long enough."""
         t = Template(text)
-        forms, plain = self._starts(self.forms, t.codes), self._starts(self.plain, t.plain)
-        found = [x for (k, shift), starts in forms.items() for x in self._runs(t, k, shift, starts)]
-        for (k, shift), starts in plain.items():
-            runs = self._runs(t, k, shift, starts, plain=True)
-            found += [x for x in runs if len(self.templates[k].codes) >= RUN or t.one_case(x[1], x[2]) or self._same_case(t, k, shift, x[1], x[2])]
-            if (k, shift) in forms:
-                found += self._runs(t, k, shift, forms[k, shift] + starts)
+        if len(t.codes) < LEAST:
+            return [(item, 0, len(t.codes)) for item in self.short.get(t.plain.tobytes(), ())] if len(t.codes) else []
+        met = self._met(self.forms, t.codes)
+        for place, starts in self._met(self.plain, t.plain).items():
+            met.setdefault(place, set()).update(starts)
+        found = [x for (k, shift), starts in met.items() for x in self._runs(t, k, shift, starts)]
         return list(dict.fromkeys(found))
 
-    def _same_case(self, t: Template, k: int, shift: int, first: int, n: int) -> bool:
-        return all(t.bare(i) == self.templates[k].bare(i - shift) for i in range(first, first + n))
-
     @staticmethod
-    def _starts(by_size, codes: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    def _met(by_size, codes: np.ndarray) -> dict[tuple[int, int], set[int]]:
         """By item and shift: where the item's windows that the text has begin."""
-        runs: dict[tuple[int, int], list[int]] = {}
+        out: dict[tuple[int, int], set[int]] = {}
         for n, (hashes, places) in by_size.items():
             own = windows(codes, n)
             if not len(own):
@@ -174,29 +173,47 @@ class Items:
             near = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             for at in np.flatnonzero(hashes[near] == own).tolist():
                 for k, i in places[int(own[at])]:
-                    runs.setdefault((k, at - i), []).append(i)
-        return runs
+                    out.setdefault((k, at - i), set()).add(i)
+        return out
 
-    def _runs(self, t: Template, k: int, shift: int, starts: list[int], plain: bool = False):
-        """plain: the windows are those of plain words, equal in all their slots."""
+    def _runs(self, t: Template, k: int, shift: int, starts: set[int]):
+        """Longest consistent runs around windows that were met; equal tokens on either side of these belong to them."""
         item = self.templates[k]
-        slots = np.zeros(len(item.codes), bool) if plain else item.slots
-        n = min(WINDOW, len(item.codes))
-        need = min(RUN, len(item.codes))
-        covered = sorted({i + o for i in starts for o in range(n)})
-        first, forth, back, last = None, {}, {}, None
-        for i in [*covered, None]:
-            fits = i is not None and last is not None and i == last + 1
-            if i is not None and slots[i]:
-                kind, a, b = int(item.codes[i]), item.value(i), t.value(i + shift)
-                fits = fits and forth.get((kind, a), b) == b and back.get((kind, b), a) == a
-            if not fits:
-                if first is not None and last - first + 1 >= need:
-                    yield self.ids[k], first + shift, last - first + 1
-                first, forth, back = i, {}, {}
-            if i is not None and slots[i]:
-                forth[kind, a], back[kind, b] = b, a
-            last = i
+        size = len(item.codes)
+        need = min(RUN, size)
+        lo, hi = max(0, -shift), min(size, len(t.codes) - shift)
+        same = item.codes[lo:hi] == t.codes[lo + shift : hi + shift]
+        fits = same | (item.plain[lo:hi] == t.plain[lo + shift : hi + shift])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], fits, [False]]).astype(np.int8))).reshape(-1, 2) + lo
+        for first, end in edges.tolist():
+            if end - first >= need and any(first <= i < end for i in starts):
+                for a, b in self._consistent(t, item, shift, first, end):
+                    if b - a >= need and (size >= RUN or same[a - lo : b - lo].all() or t.one_case(a + shift, b - a) or self._same_case(t, item, shift, a, b)):
+                        yield self.ids[k], a + shift, b - a
+
+    @staticmethod
+    def _consistent(t: Template, item: Template, shift: int, first: int, end: int):
+        """The longest parts of first to end whose slots are consistent. The part's head is dropped until the next token fits."""
+        #: by value of one side, and kind: the last place of each value of the other side
+        forth: dict[tuple, dict[tuple, int]] = {}
+        back: dict[tuple, dict[tuple, int]] = {}
+        slots = [i for i in range(first, end) if item.slots[i]]
+        pairs = {i: ((int(item.codes[i]), item.value(i)), (int(item.codes[i]), t.value(i + shift))) for i in slots}
+        begin = first
+        for i in slots:
+            a, b = pairs[i]
+            # the last tokens before this one that speak against it
+            against = max([j for v, j in forth.get(a, {}).items() if v != b] + [j for v, j in back.get(b, {}).items() if v != a], default=-1)
+            if against >= begin:
+                yield begin, i
+                begin = against + 1
+            forth.setdefault(a, {})[b] = i
+            back.setdefault(b, {})[a] = i
+        yield begin, end
+
+    @staticmethod
+    def _same_case(t: Template, item: Template, shift: int, first: int, end: int) -> bool:
+        return all(t.bare(i + shift) == item.bare(i) for i in range(first, end))
 
 
 def _blocks(benchmark: DataFrame):
@@ -225,7 +242,6 @@ def _match(shared):
                 out.append(before + [{"item_id": i, "first": a, "words": n} for i, a, n in items.hits(text)])
             columns = [pa.array(out, kind) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-        _codes.clear()  # a worker that waits for other tasks holds no words
 
     return match
 
@@ -235,7 +251,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = texts(docs).withColumn("mark", text_key()).withColumn("hits", F.array().cast(HIT))
     share = docs.sparkSession.sparkContext.broadcast
     for block in _blocks(benchmark):
-        rows = rows.mapInArrow(_match(share(block)), f"doc_id long, text string, mark long, hits {HIT}")
+        rows = rows.mapInArrow(tidy(_match(share(block))), f"doc_id long, text string, mark long, hits {HIT}")
     return rows.select("doc_id", "mark", "hits")
 
 
@@ -245,7 +261,6 @@ def _clean(shared):
         for batch in batches:
             kept = [not items.hits(t or "") for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
-        _codes.clear()
 
     return clean
 
@@ -253,7 +268,7 @@ def _clean(shared):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(tidy(_clean(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs
 
 

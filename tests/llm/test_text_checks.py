@@ -48,7 +48,7 @@ def test_templates(spark, odd, none):
     docs = [
         (1, "intro words. " + ITEMS[0][1] + " end"),
         (2, "A train leaves Rome at 99 miles per hour and returns to Rome after 7 hours, how far did it go in total?"),
-        (3, "A train leaves Rome at 99 miles per hour and returns to Oslo after 7 hours, how far did it go"),
+        (3, "A train leaves Rome at 99 miles per hour and returns to Oslo after 7 hours"),
         (4, "A train leaves Rome at 5 km per hour but never returns to Rome after that, how far did it go in"),
         (5, "they said NAME: the largest river that flows through the old town today!"),
         (6, None),
@@ -58,9 +58,10 @@ def test_templates(spark, odd, none):
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, hits int")
     bench = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, doc_id string")
     hits = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate.benchmark_hits(df, bench).collect()}
-    assert hits == {1: {1}, 2: {1}, 3: set(), 4: set(), 5: set(), 6: set(), 7: set(), 8: set()}
+    # an item of under six words is met by a text that has nothing else
+    assert hits == {1: {1}, 2: {1}, 3: set(), 4: set(), 5: set(), 6: set(), 7: {3}, 8: set()}
     clean = decontaminate.drop_contaminated(df, bench)
-    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 7, 8}
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 8}
     assert decontaminate.benchmark_hits(none, bench).count() == 0
     assert decontaminate.drop_contaminated(odd, bench).count() == odd.count()
     assert decontaminate.benchmark_hits(odd, bench.limit(0)).where("size(hits) > 0").count() == 0
@@ -90,6 +91,80 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
 
 
+def brute_hits(items, text):
+    """All consistent runs, by trying every part of every overlap that holds a window of either kind."""
+    D, out = decontaminate, set()
+    t = D.Template(text)
+    for item, own in items:
+        w = D.Template(own)
+        n, need = min(D.WINDOW, len(w.codes)), min(D.RUN, len(w.codes))
+        for shift in range(-len(w.codes) + need, len(t.codes) - need + 1):
+            here = [i for i in range(len(w.codes)) if 0 <= i + shift < len(t.codes)]
+            best = []
+            for a in here:
+                for b in range(a + need, here[-1] + 2):
+                    part = range(a, b)
+                    if not all(w.codes[i] == t.codes[i + shift] or w.plain[i] == t.plain[i + shift] for i in part):
+                        break
+                    pairs = {(int(w.codes[i]), w.value(i), t.value(i + shift)) for i in part if w.slots[i]}
+                    if len({p[:2] for p in pairs}) < len(pairs) or len({(p[0], p[2]) for p in pairs}) < len(pairs):
+                        break
+                    best.append((a, b))
+            for a, b in best:
+                if any((c, d) != (a, b) and c <= a and d >= b for c, d in best):
+                    continue
+                stretch = [a, b]  # windows count anywhere in the stretch of fitting tokens
+                fits = lambda i: 0 <= i < len(w.codes) and 0 <= i + shift < len(t.codes) and (w.codes[i] == t.codes[i + shift] or w.plain[i] == t.plain[i + shift])  # noqa: B023, E731
+                while fits(stretch[0] - 1):
+                    stretch[0] -= 1
+                while fits(stretch[1]):
+                    stretch[1] += 1
+                window = lambda i: (all(w.codes[j] == t.codes[j + shift] for j in range(i, i + n)) and sum(~w.slots[i : i + n]) >= D.LITERAL * n) or all(w.plain[j] == t.plain[j + shift] for j in range(i, i + n))  # noqa: B023, E731
+                if any(window(i) for i in range(stretch[0], stretch[1] - n + 1)):
+                    out.add((item, a + shift, b - a))
+    return out
+
+
+def test_runs_against_every_part():
+    r = random.Random(12)
+    words = "the red Anna Boris Oslo 12 40 km box of in".split()
+    for _ in range(150):
+        own = [r.choice(words) for _ in range(r.randint(13, 26))]
+        text = [r.choice(words) for _ in range(r.randint(0, 6))] + own + [r.choice(words) for _ in range(r.randint(0, 6))]
+        swap = {"Anna": r.choice(["Anna", "Carla"]), "12": r.choice(["12", "77"]), "Oslo": r.choice(["Oslo", "OSLO", "Rome"])}
+        text = [swap.get(x, x) for x in text]
+        for _ in range(r.randint(0, 2)):
+            text[r.randrange(len(text))] = r.choice([*words, "Rome", "13"])
+        items = [(1, " ".join(own))]
+        assert set(decontaminate.Items(items).hits(" ".join(text))) == brute_hits(items, " ".join(text)), (own, text)
+
+
+def test_what_must_not_be_lost():
+    curie = "In what year did Marie Curie win her first Nobel Prize in Physics"
+    assert decontaminate.Items([(1, curie)]).hits(f"so: {curie}?") == [(1, 1, 13)]
+    # one conflict, of the first token with the thirteenth: all but the first token is consistent
+    own = "Anna went out to buy some old red apples at the shop Anna likes and came back late with none at all today"
+    other = "Carla went out to buy some old red apples at the shop Dora likes and came back late with none at all today"
+    assert decontaminate.Items([(1, own)]).hits(other) == [(1, 1, 22)]
+    assert decontaminate.Items([(1, "too short")]).hits("Too Short!") == [(1, 0, 2)] and not decontaminate.Items([(1, "too short")]).hits("it is too short")
+
+
+def test_query_against_its_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
+    got = {r.doc_id: (r.contaminated, r.n_items, list(r.item_ids), r.n_matched) for r in decontaminate.op5_query(spark, sf).collect()}
+    holds = {d for d, t in rows for _, x in items if " ".join(x.split()) in " ".join(t.split())}
+    near = sorted(holds)[:6] + [d for d, _ in rows if d not in holds][:30]
+    short = {d: t for d, t in rows}
+    for d in near:
+        text = short[d]
+        if len(text.split()) < 400:
+            want = brute_hits(items, text)
+            found = sorted({i for i, _, _ in want})
+            assert got[d] == (bool(want), len(found), found, max((n for _, _, n in want), default=0))
+
+
 def test_items_dense_in_slots():
     items = [(1, "12 + 7 = 19 and 30 - 4 = 26 and 8 * 9 = 72"), (2, "Did Anna meet Boris in Oslo?"), (3, "Anna Boris Carla Dario Elena Fritz Greta Heinz Irene Jonas Karla Linus Marta"), (4, "a box of 40 red and green marbles 5 6 7 8 9 10 11 12")]
     index = decontaminate.Items(items)
