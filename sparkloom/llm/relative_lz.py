@@ -1,12 +1,17 @@
 """Substring dedup by relative Lempel-Ziv parsing against the blocks of all documents.
 
-Every window of `window` words belongs to the reference block around its rarest-looking run of ANCHOR words: the run with the
+The reference. Every window of `window` words belongs to the block around its rarest-looking run of ANCHOR words: the run with the
 least hash, the rightmost of equals. What a window holds alone decides that, so equal windows lie in blocks with the same
-anchor. The blocks of a document are its greedy parse: a block that an earlier document holds whole is a copied factor, and so
-are all its windows; neighbouring factors merge. At factor boundaries, that is in a block that no earlier document holds though
-its anchor also occurs in another block, each window is checked by itself against the windows of the blocks with that anchor;
-of equal blocks only those of the least doc_id take part, the others being copied factors already. Blocks and windows are
-compared by 128-bit hashes of their words.
+anchor. All blocks of all documents are indexed by their words, each by its first holder (the least doc_id, then the least
+place); the windows of blocks whose anchor also stands in other blocks are indexed one by one likewise. Blocks and windows are
+compared by 128-bit hashes of their words. The lookups that fall to a document (its blocks and windows that an earlier document
+holds, and where) meet in one row for each document.
+
+The parse. A document is factored greedily from its first word: at each place the longest factor is taken, that is the longest
+stretch of words whose windows follow one another in one reference document as they do here; the next factor starts behind it.
+A place where no window of the reference starts is a literal. Factors, of `window` words at least, are duplicate spans, written
+as (first word, words, reference document, its first word). A window may also lie across the end of a factor, in another
+reference than that: those are checked at the factors' boundaries, and what they cover beyond the factors goes as well.
 
 Cases: a null or empty text has no words; a null doc_id is no reference and is left whole; rows that share a doc_id do not
 remove each other's words; texts of less than `window` words stay whole; columns other than doc_id and text are not read.
@@ -14,13 +19,15 @@ remove each other's words; texts of less than `window` words stay whole; columns
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, load, stash, text_key, texts, unstash
+from .common import Words, load, stash, text_key, texts, tidy, unstash
 
 ANCHOR = 8
 #: Bits of the position within a chunk of CHUNK words, in the sliding minimum's keys.
@@ -104,7 +111,55 @@ def _windows(window: int):
     return windows
 
 
-RESULT = "doc_id long, n_words long, n_removed long, factors array<struct<first: int, words: int>>, kept_text string"
+RESULT = "doc_id long, n_words long, n_removed long, factors array<struct<first: int, words: int, ref_doc: long, ref_mark: long, ref_first: int>>, boundaries array<struct<first: int, words: int>>, kept_text string"
+
+
+def stretches(met, window: int) -> list[tuple[int, int, tuple[int, int], int]]:
+    """(first window, last window, reference, its first window) from lookups (first, last, ref_doc, ref_mark, ref_first), those that
+    follow one another in one reference as they do here joined."""
+    out, last = [], {}
+    for first, end, doc, mark, ref in sorted(met):
+        key = (doc, mark, ref - first)
+        at = last.get(key)
+        if at is not None and first <= out[at][1] + 1:
+            out[at][1] = max(out[at][1], end)
+        else:
+            last[key] = len(out)
+            out.append([first, end, (doc, mark), ref])
+    return [tuple(x) for x in out]
+
+
+def greedy_factors(held, window: int) -> list[tuple[int, int, tuple[int, int], int]]:
+    """(first word, words, reference, its first word) of the greedy parse: at each place the stretch that reaches furthest (of equal
+    ones the least reference), from there to its end; then on behind it."""
+    out, waiting, at, place = [], [], 0, 0
+    held = sorted(held)
+    while at < len(held) or waiting:
+        while at < len(held) and held[at][0] <= place:
+            first, end, source, ref = held[at]
+            heapq.heappush(waiting, (-end, source, ref - first))
+            at += 1
+        while waiting and -waiting[0][0] < place:  # they end before this place
+            heapq.heappop(waiting)
+        if waiting:
+            end, source, shift = waiting[0]
+            out.append((place, -end + window - place, source, place + shift))
+            place = -end + window
+        elif at < len(held):
+            place = max(place, held[at][0])
+    return out
+
+
+def _covered(spans, n: int) -> np.ndarray:
+    edges = np.zeros(n + 1, np.int64)
+    for first, end in spans:
+        edges[first] += 1
+        edges[end] -= 1
+    return np.cumsum(edges)[:-1] > 0
+
+
+def _turns(marked: np.ndarray):
+    return np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
 
 
 def _cut(window: int):
@@ -114,45 +169,51 @@ def _cut(window: int):
             for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 if not spans:
-                    rows.append((doc, len(words), 0, [], b" ".join(words)))
+                    rows.append((doc, len(words), 0, [], [], b" ".join(words)))
                     continue
-                edges = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edges, [x["first"] for x in spans], 1)
-                np.add.at(edges, [x["last"] + window for x in spans], -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((doc, len(words), len(words) - len(kept), [{"first": a, "words": b - a} for a, b in turns.tolist()], b" ".join(kept)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.string())
-            columns[4] = [x.decode("utf-8", "surrogatepass") for x in columns[4]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "factors", "kept_text"])
+                held = stretches([(x["first"], x["last"], x["ref_doc"], x["ref_mark"], x["ref_first"]) for x in spans], window)
+                factors = greedy_factors(held, window)
+                copied = _covered([(f, f + n) for f, n, _, _ in factors], len(words))
+                across = _covered([(f, e + window) for f, e, _, _ in held], len(words)) & ~copied
+                kept = [w for w, g in zip(words, (copied | across).tolist(), strict=True) if not g]
+                told = [{"first": f, "words": n, "ref_doc": s[0], "ref_mark": s[1], "ref_first": r} for f, n, s, r in factors]
+                rows.append((doc, len(words), len(words) - len(kept), told, [{"first": a, "words": b - a} for a, b in _turns(across)], b" ".join(kept)))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            i32, i64 = pa.int32(), pa.int64()
+            kinds = (i64, i64, i64, pa.list_(pa.struct([("first", i32), ("words", i32), ("ref_doc", i64), ("ref_mark", i64), ("ref_first", i32)])), pa.list_(pa.struct([("first", i32), ("words", i32)])), pa.string())
+            columns[5] = [x.decode("utf-8", "surrogatepass") for x in columns[5]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "factors", "boundaries", "kept_text"])
 
     return cut
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, the removed factors (first word, words) and kept_text."""
+    """A row for each document: doc_id, n_words, n_removed, its factors (first word, words; ref_doc, ref_mark and ref_first tell the
+    reference's doc_id, the hash of its text and its first word), boundaries (first word, words: what windows across factors'
+    ends cover beyond them) and kept_text."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")
     rows = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), text_key().alias("mark"), "text")
-    every = stash(rows.select("doc", "mark", "text").mapInArrow(_blocks(window), BLOCKS), "blocks")
+    every = stash(rows.select("doc", "mark", "text").mapInArrow(tidy(_blocks(window)), BLOCKS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("b1").alias("lo"), F.max("b1").alias("hi"), F.min("doc").alias("least"), F.max("doc").alias("most"))
     # sums by a key are written before they are joined by it: Spark then splits a hot key's rows in the join
     shared = stash(anchors.where("least < most").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    blocks = stash(every.join(shared, "anchor"), "shared")
+    blocks = stash(every.join(shared, "anchor").drop("anchor"), "shared")
     unstash(every, shared)
-    least = stash(blocks.groupBy("b1", "b2").agg(F.min("doc").alias("least")), "least")
+    holder = F.min(F.struct("doc", "first", "mark")).alias("ref")
+    least = stash(blocks.groupBy("b1", "b2").agg(holder), "least")
     held = blocks.join(least, ["b1", "b2"])
-    factors = held.where("doc > least").select("doc", "mark", "first", "last")
-    spans = F.collect_list(F.struct("first", "last")).alias("spans")
-    bounds = held.where("doc = least and mixed").groupBy("doc", "mark").agg(spans)
+    met = ["doc", "mark", "first", "last", F.col("ref.doc").alias("ref_doc"), F.col("ref.mark").alias("ref_mark"), F.col("ref.first").alias("ref_first")]
+    factors = held.where("doc > ref.doc").select(*met)
+    bounds = held.where("doc = ref.doc and mixed").groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     # only documents with such blocks reach Python here; the texts are shuffled once for this and once for the result
-    windows = stash(rows.join(bounds, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(_windows(window), WINDOWS), "windows")
-    earlier = stash(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "earlier")
-    checked = windows.join(earlier, ["w1", "w2"]).where("doc > least").select("doc", "mark", "first", F.col("first").alias("last"))
-    found = factors.unionByName(checked).groupBy("doc", "mark").agg(spans)
-    return rows.join(found, ["doc", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), RESULT)
+    windows = stash(rows.join(bounds, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(tidy(_windows(window)), WINDOWS), "windows")
+    earlier = stash(windows.groupBy("w1", "w2").agg(holder, F.max("doc").alias("most")).where("ref.doc < most").drop("most"), "earlier")
+    checked = windows.withColumn("last", F.col("first")).join(earlier, ["w1", "w2"]).where("doc > ref.doc").select(*met)
+    spans = F.collect_list(F.struct("first", "last", "ref_doc", "ref_mark", "ref_first")).alias("spans")
+    found = stash(factors.unionByName(checked).groupBy("doc", "mark").agg(spans), "found")
+    unstash(blocks, least, windows, earlier)
+    return rows.join(found, ["doc", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(tidy(_cut(window)), RESULT)
 
 
 def op2_query(spark, sf_dir):

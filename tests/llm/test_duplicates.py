@@ -50,6 +50,60 @@ def test_repeats_of_all_kinds(spark):
         assert got == removed(rows, window)
 
 
+def test_factors(spark):
+    """Factors stand in their reference word for word, an earlier document; none can go on there; with literals and boundaries they
+    give the text again."""
+    r = random.Random(17)
+    pool = prose(3, 900).split()
+    rows = []
+    for k in range(50):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            at = r.randint(0, 800)
+            words += pool[at : at + r.randint(10, 200)] if r.random() < 0.7 else prose(1000 + k, r.randint(1, 30)).split()
+        rows.append((k, " ".join(words)))
+    out = {x.doc_id: x for x in relative_lz.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 20).collect()}
+    words = {k: t.split() for k, t in rows}
+    n_factors = 0
+    for k, x in out.items():
+        gone, behind = set(), 0
+        for f in x.factors:
+            own, ref = words[k], words[f.ref_doc]
+            assert f.ref_doc < k and f.words >= 20 and f["first"] >= behind
+            assert own[f["first"] : f["first"] + f.words] == ref[f.ref_first : f.ref_first + f.words]
+            gone |= set(range(f["first"], f["first"] + f.words))
+            behind = f["first"] + f.words
+            n_factors += 1
+        for b in x.boundaries:
+            assert not gone & set(range(b["first"], b["first"] + b.words))
+            gone |= set(range(b["first"], b["first"] + b.words))
+        assert len(gone) == x.n_removed and " ".join(w for i, w in enumerate(words[k]) if i not in gone) == x.kept_text
+    assert n_factors > 50
+
+
+def test_greedy_parse():
+    """Against trying all stretches at each place."""
+    r = random.Random(5)
+    for _ in range(300):
+        met = [(f, f + r.randint(0, 6), r.randint(0, 2), 0, r.randint(0, 8)) for f in (r.randint(0, 40) for _ in range(r.randint(0, 12)))]
+        held = relative_lz.stretches(met, 4)
+        want, place = [], 0
+        while any(e >= place for _, e, _, _ in held):
+            here = [(e, s, ref - f) for f, e, s, ref in held if f <= place <= e]
+            if not here:
+                place = min(f for f, _, _, _ in held if f > place)
+                continue
+            end = max(e for e, _, _ in here)
+            source, shift = min((s, d) for e, s, d in here if e == end)
+            want.append((place, end + 4 - place, source, place + shift))
+            place = end + 4
+        assert relative_lz.greedy_factors(held, 4) == want
+        single = {(w, w + ref - f, doc) for f, e, doc, _, ref in met for w in range(f, e + 1)}
+        assert {(w, w + ref - f, s[0]) for f, e, s, ref in held for w in range(f, e + 1)} == single
+        # joined as far as they go
+        assert all((e + 1, e + 1 + ref - f, s[0]) not in single for f, e, s, ref in held)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 90)]
