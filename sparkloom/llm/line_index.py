@@ -1,8 +1,9 @@
 """Line dedup: sharded cuckoo filters backed by an exact table of reference counts, open to insertions and deletions.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased, as a 128-bit hash. The table counts the
-documents (rows) that hold a key; the filters hold the keys whose count reaches min_docs. Texts are pruned in one scan: a filter
-answers for most lines, the exact keys decide on the rest.
+documents (rows) that hold a key; the filters hold the keys whose count reaches min_docs, each in the shard that the key's first
+two bytes name, so a line is looked up in one shard. What a filter denies stays: that settles most lines. What it affirms is
+decided by the exact keys, in the same scan while these are few, else by a join of the affirmed keys with the table of counts.
 
 Cases: a null or empty text is one empty line, whose empty key never counts; repeated rows are documents of their own; an empty
 table leaves an empty index; columns other than doc_id and text are not read.
@@ -17,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stash, text_key, texts
+from .common import load, stash, text_key, texts, tidy, unstash
 
-#: Frequent keys up to this number are broadcast with their filters (under 20 bytes a key); beyond, lines are joined by shuffle.
+#: Frequent keys up to this number are broadcast with their filters (under 25 bytes a key); beyond, affirmed keys are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Filters up to this size are broadcast; beyond, all keys are joined by shuffle.
+BROADCAST_FILTERS = 256 << 20
 #: Keys that a shard of the filters holds at about half its room.
 SHARD_KEYS = 50_000
 
@@ -103,6 +106,25 @@ class CuckooFilter:
                     break
 
 
+class Filters:
+    """The shards' filters by number, and their count."""
+
+    def __init__(self, told: tuple[int, dict[int, bytes]]):
+        self.shards, blobs = told
+        self.filters = {k: CuckooFilter.load(b) for k, b in blobs.items()}
+
+    def affirm(self, digests: list[bytes]) -> np.ndarray:
+        """Which keys may be there: each is looked up in its own shard."""
+        halves = CuckooFilter.parts(digests)
+        shard = (halves[:, 0] & np.uint64(0xFFFF)).astype(np.int64) % self.shards
+        out = np.zeros(len(digests), bool)
+        for k in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == k)
+            if k in self.filters:
+                out[own] = self.filters[k].contains(halves[own])
+        return out
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
@@ -121,14 +143,22 @@ def _line_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
 
 
-def _document_keys(batches):
-    for batch in batches:
-        rows = [[], [], []]
-        for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-            for key in {line_key(x) for x in text.encode("utf-8", "surrogatepass").split(b"\n")} - {b""}:
-                for column, value in zip(rows, (doc, mark, _digest(key)), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "mark", "key"])
+def _document_keys(shared):
+    """(doc_id, mark, key) of the lines that the filters affirm; without filters of all."""
+
+    def keys_of(batches):
+        filters = None if shared is None else Filters(shared.value)
+        for batch in batches:
+            rows = [[], [], []]
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
+                keys = [_digest(k) for k in {line_key(x) for x in text.encode("utf-8", "surrogatepass").split(b"\n")} - {b""}]
+                there = [True] * len(keys) if filters is None else filters.affirm(keys).tolist()
+                for key in (k for k, yes in zip(keys, there, strict=True) if yes):
+                    for column, value in zip(rows, (doc, mark, key), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "mark", "key"])
+
+    return keys_of
 
 
 def _prune(text: str, frequent) -> tuple[int, str, list[bytes]]:
@@ -161,7 +191,7 @@ class LineIndex:
 
     @staticmethod
     def count(docs: DataFrame) -> DataFrame:
-        keys = texts(docs).select("text").mapInArrow(_line_keys, "key binary")
+        keys = texts(docs).select("text").mapInArrow(tidy(_line_keys), "key binary")
         return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
 
     @classmethod
@@ -171,13 +201,15 @@ class LineIndex:
     @classmethod
     def _of(cls, spark, counts, min_docs):
         frequent = counts.where(F.col("n_docs") >= min_docs).select("key")
-        shards = max(1, -(-frequent.count() // SHARD_KEYS))
+        shards = min(1 << 16, max(1, -(-frequent.count() // SHARD_KEYS)))
         filters = frequent.select(cls._shard(shards).alias("shard"), "key").groupBy("shard").applyInArrow(_fill(), "shard int, filter binary")
         return cls(spark, counts, stash(filters, "filters"), shards, min_docs)
 
     @staticmethod
     def _shard(shards: int):
-        return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+        # the first two bytes, as Filters.affirm() reads them
+        first = F.concat(F.hex(F.substring("key", 2, 1)), F.hex(F.substring("key", 1, 1)))
+        return F.pmod(F.conv(first, 16, 10).cast("int"), F.lit(shards)).cast("int")
 
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.min_docs).select("key")
@@ -193,7 +225,9 @@ class LineIndex:
         old = self.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(_edit, "shard int, filter binary")
         counts = stash(merged.where("n_docs > 0").select("key", "n_docs"), "lines")
         try:
-            return LineIndex(self.spark, counts, stash(old, "filters"), self.shards, least)
+            filters = stash(old, "filters")
+            unstash(merged)
+            return LineIndex(self.spark, counts, filters, self.shards, least)
         except Exception as e:
             if "the shard is full" not in str(e):
                 raise
@@ -209,27 +243,31 @@ class LineIndex:
         """A row for each document: doc_id, n_lines, n_dropped, kept_text."""
         frequent = self.frequent()
         if frequent.count() <= broadcast_keys:
-            return texts(docs).mapInArrow(_pruner(self._shared()), RESULT)
-        return self._listed(texts(docs)).mapInArrow(_prune_listed, RESULT)
+            return texts(docs).mapInArrow(tidy(_pruner(self._shared())), RESULT)
+        return self._listed(texts(docs)).mapInArrow(tidy(_prune_listed), RESULT)
 
     def rewrite(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
         """The documents with all their columns, text without the lines that go; a null text stays null."""
         if self.frequent().count() <= broadcast_keys:
-            return docs.mapInArrow(_rewriter(self._shared()), docs.schema)
+            return docs.mapInArrow(tidy(_rewriter(self._shared())), docs.schema)
         rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
         listed = self._listed(rows.withColumn("text", F.coalesce("text", F.lit(""))))
-        pruned = listed.mapInArrow(_rewrite_listed(docs.schema.names), docs.schema)
+        pruned = listed.mapInArrow(tidy(_rewrite_listed(docs.schema.names)), docs.schema)
         return pruned
 
+    def _blobs(self):
+        return self.shards, {r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()}
+
     def _shared(self):
-        keys = {bytes(r.key) for r in self.frequent().toLocalIterator()}
-        blobs = {r.shard: bytes(r.filter) for r in self.filters.toLocalIterator()}
-        return self.spark.sparkContext.broadcast((keys, blobs))
+        keys = np.array(sorted(bytes(r.key) for r in self.frequent().toLocalIterator()), "S16")
+        return self.spark.sparkContext.broadcast((keys, self._blobs()))
 
     def _listed(self, rows: DataFrame) -> DataFrame:
         """The rows with the keys of theirs that go, by shuffles."""
         rows = rows.withColumn("mark", text_key())
-        gone = rows.select("doc_id", "mark", "text").mapInArrow(_document_keys, "doc_id long, mark long, key binary").join(self.frequent(), "key", "left_semi")
+        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("n")).first().n
+        shared = self.spark.sparkContext.broadcast(self._blobs()) if size <= BROADCAST_FILTERS else None
+        gone = rows.select("doc_id", "mark", "text").mapInArrow(tidy(_document_keys(shared)), "doc_id long, mark long, key binary").join(self.frequent(), "key", "left_semi")
         gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("key").alias("gone"))
         same = rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["mark"] == gone["mark"])
         return rows.join(gone, same, "left").select(*[rows[c] for c in rows.columns if c != "mark"], "gone")
@@ -262,16 +300,18 @@ def _edit(filters: pa.Table, crossing: pa.Table) -> pa.Table:
 
 
 def _checker(shared):
-    """Tells of a list of keys which are frequent: the filters' yes is checked against the exact keys."""
-    exact, blobs = shared.value
-    filters = [CuckooFilter.load(b) for b in blobs.values()]
+    """Tells of a list of keys which are frequent: what the filters affirm is looked up among the exact keys."""
+    exact, told = shared.value
+    filters = Filters(told)
 
     def frequent(digests):
-        halves = CuckooFilter.parts(digests)
-        maybe = np.zeros(len(digests), bool)
-        for f in filters:
-            maybe |= f.contains(halves)
-        return [y and d in exact for d, y in zip(digests, maybe.tolist(), strict=True)]
+        out = filters.affirm(digests)
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            asked = np.frombuffer(b"".join(digests[i] for i in maybe.tolist()), "S16")
+            near = np.minimum(np.searchsorted(exact, asked), len(exact) - 1)
+            out[maybe] = exact[near] == asked
+        return out.tolist()
 
     return frequent
 

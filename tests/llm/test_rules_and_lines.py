@@ -88,6 +88,27 @@ def test_index_is_reversible(spark):
     assert emptied.counts.count() == 0 and all(not any(bytes(f.filter)) for f in emptied.filters.collect())
 
 
+def test_shards_and_false_affirmations(spark, monkeypatch):
+    """Many shards; filters that affirm everything change nothing, filters that deny everything keep all lines."""
+    rows = [(k, "\n".join(f"line {k * j % 37}" for j in range(20)) + f"\nown {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(lines_of(rows))
+    monkeypatch.setattr(line_index, "SHARD_KEYS", 3)
+    index = line_index.LineIndex.build(df)
+    assert index.shards > 5
+    stored = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+    filters = line_index.Filters((index.shards, stored))
+    keys = [bytes(r.key) for r in index.frequent().collect()]
+    assert filters.affirm(keys).all() and all(line_index.CuckooFilter.load(stored[int.from_bytes(k[:2], "little") % index.shards]).contains(line_index.CuckooFilter.parts([k]))[0] for k in keys)
+    for limit in (10_000, 0):
+        assert sorted(tuple(r) for r in index.prune(df, broadcast_keys=limit).collect()) == want
+    monkeypatch.setattr(line_index, "BROADCAST_FILTERS", -1)
+    assert sorted(tuple(r) for r in index.prune(df, broadcast_keys=0).collect()) == want
+    monkeypatch.setattr(line_index.Filters, "affirm", lambda self, d: __import__("numpy").ones(len(d), bool))
+    checker = line_index._checker(index._shared())
+    assert checker(keys + [b"\0" * 16]) == [True] * len(keys) + [False]
+
+
 def test_cuckoo_filter():
     import numpy as np
 
