@@ -53,7 +53,7 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _filesystem(spark: SparkSession, where: str):
+def filesystem(spark: SparkSession, where: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -66,7 +66,7 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     where = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
-    fs, path = _filesystem(spark, where)
+    fs, path = filesystem(spark, where)
     fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(where)
     out._stashed = where
@@ -76,7 +76,7 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
 def unstash(*tables: DataFrame) -> None:
     """Deletes stashed tables that no later result reads."""
     for df in tables:
-        fs, path = _filesystem(df.sparkSession, df._stashed)
+        fs, path = filesystem(df.sparkSession, df._stashed)
         fs.delete(path, True)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, stash, texts
+from .common import load, stash, texts, tidy
 from .token_files import default_tokenizer
 from .wordpiece import encoder
 
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             n = np.array([len(coder.encode(t)) // 2 for t in batch.column("text").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return texts(docs).mapInArrow(count, "doc_id long, n_tokens long")
+    return texts(docs).mapInArrow(tidy(count), "doc_id long, n_tokens long")
 
 
 def histogram(counts: DataFrame) -> DataFrame:

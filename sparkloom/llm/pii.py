@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, stash, texts
+from .common import load, stash, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, THRESHOLD, LEAST, SMOOTHING = 3, 0.8, 3, 1.0
@@ -145,7 +145,7 @@ def score_patterns(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """A row for each document: doc_id, base and found (arrays of start, kind and end)."""
-    scanned = texts(docs).mapInArrow(_scan, SCAN).withColumn("row", F.monotonically_increasing_id())
+    scanned = texts(docs).mapInArrow(tidy(_scan), SCAN).withColumn("row", F.monotonically_increasing_id())
     scanned = stash(scanned, "scanned")
     seen = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     trusted = score_patterns(seen).where((F.col("seeds") >= least) & (F.col("confidence") >= threshold)).select("context", "kind", "confidence")

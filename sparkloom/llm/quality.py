@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, load, stash, texts
+from .common import Words, load, stash, texts, tidy
 
 FEATURES = ("log_words", "word_length", "word_spread", "longest", "distinct", "repeats", "line_repeats", "top_word", "upper", "digits", "marks", "symbols", "shouts", "spaces", "letters_entropy", "line_words", "ends")
 _symbol, _mark, _upper, _digit, _space = (np.zeros(256, bool) for _ in range(5))
@@ -80,7 +80,7 @@ def _features(batches):
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of each text."""
-    return texts(docs).mapInArrow(_features, "doc_id long, x array<double>")
+    return texts(docs).mapInArrow(tidy(_features), "doc_id long, x array<double>")
 
 
 def _moments(batches):

@@ -1,18 +1,21 @@
 """Token-ID files: ids ranked by frequency, in byte-aligned variable length with separate control bytes, read by table lookup.
 
-Format. A file set is a Parquet table in a folder; each row is a block of consecutive documents in ascending doc_id order:
-part and block (ints, their order is the documents' order), n_ids, start (ids of the part before the block), docs and lengths
-(arrays: doc_id, ids with the end id), control and data (bytes). Ids are replaced by their rank by falling count (ties: by id),
-so frequent ids take one byte. A control byte has the sizes less one of four ranks, two bits each, the first in the lowest bits;
-the last may be padded with zeros. The ranks' bytes follow one another in data, the lowest first. The ranked vocabulary is a
-table beside it (id, rank). offsets has the ids before each part.
+Format. A file set is a folder with three Parquet tables. Each row of blocks is a block of consecutive documents in ascending
+doc_id order: part and block (ints, their order is the documents' order), n_ids, start (ids of the part before the block), docs
+and lengths (arrays: doc_id, ids with the end id), control and data (bytes). Ids are replaced by their rank by falling count
+(ties: by id), so frequent ids take one byte. A control byte has the sizes less one of four ranks, two bits each, the first in
+the lowest bits; the last may be padded with zeros. The ranks' bytes follow one another in data, the lowest first. ranks has
+(id, rank, n), the ids that occur, parts has (part, n_ids, start), the ids before each part. parts is written last: a folder
+without it is no file set. Reading takes nothing but what stands in the folder.
 
 Cases: a null or empty text has only the end id; rows that share a doc_id stand beside one another, ordered by their ids' bytes;
-a null doc_id comes first; an empty table gives no blocks; columns other than doc_id and text are not read.
+a null doc_id comes first; an empty table gives no blocks; a folder that exists is not written to; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stash, texts, unstash
+from .common import filesystem, load, scratch, stash, texts, tidy, unstash
 from .wordpiece import encoder
 
 #: Ids of a block, after which it is closed.
@@ -136,40 +139,71 @@ def _unblock(back, offsets):
     return unblock
 
 
+def _temporary(spark: SparkSession) -> str:
+    where = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
+    fs, path = filesystem(spark, where)
+    fs.deleteOnExit(path)
+    return where
+
+
 class TokenFiles:
-    """blocks: the file set read again; ranks: (id, rank). The rank table has at most 65,536 rows: it is broadcast."""
+    """A file set at a path. The rank table has at most 65,536 rows and parts a row for each part: both go to every task."""
 
-    def __init__(self, spark: SparkSession, blocks: DataFrame, ranks: DataFrame):
-        self.spark, self.blocks, self.ranks = spark, blocks, ranks
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def write(cls, docs: DataFrame, tokenizer_path: str, end_id: int = 1, partitions: int | None = None) -> "TokenFiles":
+    def open(cls, spark: SparkSession, path: str) -> "TokenFiles":
+        fs, done = filesystem(spark, f"{path.rstrip('/')}/parts/_SUCCESS")
+        if not fs.exists(done):
+            raise FileNotFoundError(f"no token files in {path}")
+        return cls(spark, path)
+
+    @classmethod
+    def write(cls, docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1, partitions: int | None = None) -> "TokenFiles":
+        """Encodes documents and writes them to a new folder (none told: one of the shared folder, for as long as the application runs)."""
         spark = docs.sparkSession
-        encoded = stash(texts(docs).mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids binary"), "ids")
-        counts = encoded.select("ids").mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        ordered = sorted(((-r.n, r.id) for r in counts.collect()))  # at most 65,536 rows
+        out = cls(spark, path or _temporary(spark))
+        encoded = stash(texts(docs).mapInArrow(tidy(_encode(tokenizer_path, end_id)), "doc_id long, ids binary"), "ids")
+        counts = encoded.select("ids").mapInArrow(tidy(_count_ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        ordered = sorted((-r.n, r.id) for r in counts.collect())  # at most 65,536 rows
+        ranks = spark.createDataFrame([(i, k, -n) for k, (n, i) in enumerate(ordered)], "id int, rank int, n long")
+        ranks.coalesce(1).write.parquet(f"{out.path}/ranks")
         rank = np.zeros(1 << 16, np.uint32)
         rank[[i for _, i in ordered]] = np.arange(len(ordered))
         shared = spark.sparkContext.broadcast(rank)
         spread = encoded.repartitionByRange(partitions, "doc_id") if partitions else encoded.repartitionByRange("doc_id")
         # rows that share a doc_id fall in one part
-        blocks = stash(spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(_blocks(shared), BLOCK), "tokens")
-        ranks = spark.createDataFrame([(i, k) for k, (_, i) in enumerate(ordered)], "id int, rank int")
+        spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(tidy(_blocks(shared)), BLOCK).write.option("compression", "zstd").parquet(f"{out.path}/blocks")
+        # a row for each part: their number is set by the partitioning
+        before, rows = 0, []
+        for r in sorted(out.blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
+            rows.append((r.part, r.n, before))
+            before += r.n
+        spark.createDataFrame(rows, "part int, n_ids long, start long").coalesce(1).write.parquet(f"{out.path}/parts")
         unstash(encoded)
-        return cls(spark, blocks, ranks)
+        return out
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks")
+
+    @property
+    def ranks(self) -> DataFrame:
+        return self.spark.read.schema("id int, rank int, n long").parquet(f"{self.path}/ranks")
+
+    @property
+    def parts(self) -> DataFrame:
+        return self.spark.read.schema("part int, n_ids long, start long").parquet(f"{self.path}/parts")
 
     def read(self) -> DataFrame:
         """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-        # a row for each part: their number is set by the partitioning
-        sums = {r.part: r.n for r in self.blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-        offsets, before = {}, 0
-        for part in sorted(sums):
-            offsets[part], before = before, before + sums[part]
+        offsets = {r.part: r.start for r in self.parts.collect()}
         ids = np.zeros(1 << 16, np.uint32)
-        for r in self.ranks.toLocalIterator():
+        for r in self.ranks.collect():
             ids[r["rank"]] = r["id"]
         share = self.spark.sparkContext.broadcast
-        return self.blocks.mapInArrow(_unblock(share(ids), share(offsets)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self.blocks.mapInArrow(tidy(_unblock(share(ids), share(offsets))), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:

@@ -1,18 +1,29 @@
 """Encoding by a public word-level BPE of the tokenizers library, a distinct word at a time.
 
 The vocabulary lower-cases, drops white space and never merges across it, so the ids of a text are those of its white-space
-separated words in turn. A worker keeps the ids of words that it has met (up to CACHE_WORDS); a text then costs a lookup a word.
+separated words in turn. A task keeps the ids of words that it has met (up to CACHE_BYTES); a text then costs a lookup a word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words whose ids a worker keeps; at about 150 bytes each. Beyond, the memory starts anew: results do not change.
-CACHE_WORDS = 1_500_000
+from .common import caches
+
+#: What the words and stems that a task keeps may take, by about WORD_BYTES for each and its letters. Beyond, the memory starts anew:
+#: results do not change.
+CACHE_BYTES, WORD_BYTES = 64 << 20, 200
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.forget()
+
+
+caches.append(_forget)
+
+
 def encoder(path: str) -> "WordEncoder":
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -33,6 +44,7 @@ class WordEncoder:
             raise ValueError("ids are kept in two bytes")
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.held = 0
         #: Letters of Latin-1 and then ASCII punctuation without an apostrophe: such a word is at most two pre-tokens.
         self.plain = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
         # bytes as the library writes them: printable ones as themselves, others from U+0100 on
@@ -40,13 +52,17 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.stems.clear()
+        self.held = 0
+
     def _stem(self, stem: str) -> bytes:
         ids = self.stems.get(stem)
         if ids is None:
             written = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u2").tobytes()
-            if len(self.stems) >= CACHE_WORDS:
-                self.stems.clear()
+            self.held += WORD_BYTES + 4 * len(stem)
             self.stems[stem] = ids
         return ids
 
@@ -70,12 +86,13 @@ class WordEncoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) >= CACHE_WORDS:
-            known.clear()
         out = []
         for w in words:
             ids = known.get(w)
             if ids is None:
+                if self.held > CACHE_BYTES:
+                    self.forget()
                 ids = known[w] = self._word(w)
+                self.held += WORD_BYTES + 4 * len(w)
             out.append(ids)
         return b"".join(out)

@@ -54,6 +54,49 @@ def test_token_files(odd, odd_rows, none, tokenizer, monkeypatch):
     assert token_files.TokenFiles.write(none, PATH).read().count() == 0
 
 
+def test_token_files_at_a_path(spark, odd, odd_rows, tokenizer, tmp_path):
+    path = f"file://{tmp_path}/set"
+    token_files.TokenFiles.write(odd, PATH, path, partitions=4)
+    files = token_files.TokenFiles.open(spark, path)
+    want = expected(odd_rows, tokenizer)
+    assert sorted((tuple(r) for r in files.read().collect()), key=lambda r: r[1]) == want
+    assert sum(r.n for r in files.ranks.collect()) == sum(w[2] for w in want) == sum(r.n_ids for r in files.parts.collect())
+    # decoded by hand, from the files alone
+    ids = {r["rank"]: r.id for r in files.ranks.collect()}
+    got = [ids[k] for b in sorted(files.blocks.collect(), key=lambda b: (b.part, b.block)) for k in token_files.unpack(bytes(b.control), bytes(b.data), b.n_ids).tolist()]
+    assert [zlib.crc32(np.array(got[w[1] : w[1] + w[2]], "<u4").tobytes()) for w in want] == [w[3] for w in want]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        token_files.TokenFiles.write(odd, PATH, path)
+    with pytest.raises(FileNotFoundError):
+        token_files.TokenFiles.open(spark, f"file://{tmp_path}/other")
+
+
+def test_queries_of_tokens(spark, tokenizer):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in token_files.op10_query(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    assert got == expected(rows, tokenizer)
+    n = [x[2] - 1 for x in got]
+    sums = {tuple(r) for r in length_histogram.op7_query(spark, sf).collect()}
+    assert sums == {(k, n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n)) for k in set(n)}
+    m = nbest_pieces.model(nbest_pieces.default_model())
+    for r in nbest_pieces.op9_query(spark, sf).collect():
+        text = dict(rows)[r.doc_id]
+        best, ways = m.encode(text, 3)
+        crc = [zlib.crc32(m.swapped(best, w).astype("<u4").tobytes()) for _, w in ways]
+        assert (r.n_pieces, r.text_crc32, r.ways_decode) == (len(best) // 2, zlib.crc32(text.encode()), True)
+        assert [r.score, r.score_2, r.score_3][: len(ways)] == [s for s, _ in ways] and [r.ids_crc32, r.ids_crc32_2, r.ids_crc32_3][: len(ways)] == crc
+
+
+def test_word_cache_starts_anew(tokenizer, monkeypatch):
+    from sparkloom.llm import wordpiece
+
+    monkeypatch.setattr(wordpiece, "CACHE_BYTES", 2_000)
+    e = wordpiece.WordEncoder(PATH)
+    text = " ".join(f"word{k} other{k}," for k in range(200))
+    assert np.frombuffer(e.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids and e.held < 4_000
+
+
 def test_lengths(odd, odd_rows, none, tokenizer):
     n = [len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows]
     sums = length_histogram.suffix_sums(length_histogram.histogram(length_histogram.token_counts(odd, PATH))).cache()
