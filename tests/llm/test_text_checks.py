@@ -41,6 +41,59 @@ def test_patterns_find_more(spark, odd, odd_rows, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_second_order_patterns(spark):
+    """What a pattern finds makes a pattern of another context, which finds what stood nowhere else."""
+    cards = [x for x in map(str, range(4111111111111111, 4111111111111300)) if pii.luhn(x)][:8]
+    ids = [f"QX-{k}-{k * 7}" for k in range(10, 22)]
+    rows = [f"please call member no {c} today" for c in cards] + [f"please call member no {i} today" for i in ids]
+    rows += [f"filed under {i} by staff" for i in ids] + ["filed under ZZ-5-1 by staff", "nothing here ZZ-5-1 at all"]
+    # ordinary words stand in this context as often as identifiers do
+    rows += [f"walk along {c} now" for c in cards] + [f"walk along {w} now" for w in ("road", "river", "shore", "wall", "street", "lane", "way", "path")] + ["walk along K9 now"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for limit in (pii.BROADCAST_CONTEXTS, 0):
+        pii.BROADCAST_CONTEXTS, kept = limit, pii.BROADCAST_CONTEXTS
+        try:
+            got = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.found or ()] for r in pii.find_personal_data(df).collect()}
+        finally:
+            pii.BROADCAST_CONTEXTS = kept
+        assert [got[8 + k] for k in range(12)] == [[i] for i in ids] == [got[20 + k] for k in range(12)]
+        assert got[32] == ["ZZ-5-1"] and got[33] == [] and all(got[k] == [] for k in (*range(8), *range(34, len(rows))))
+
+
+def test_spans_beyond_base(spark):
+    """The secrets of the driver's table stand behind 'token = ': all are found, nothing else is."""
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    planted = {(d, m.start(1), m.end(1)) for d, t in rows for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)}
+    out = pii.op1_query(spark, sf).collect()
+    base = {r.doc_id: spans_of(dict_of[r.doc_id]) for dict_of in [dict(rows)] for r in out}
+    more = set()
+    for r in out:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        own = {(BASE[k][0], a, b) for a, k, b in base[r.doc_id]}
+        assert own <= set(spans)
+        more |= {(r.doc_id, a, b) for k, a, b in spans if (k, a, b) not in own}
+    assert len(planted) > 100 and more == planted
+
+
+def test_contexts():
+    """Against a plain reading of the words around each one."""
+    text = "alpha Beta, gamma\n\nx1 = y2 z\n one two three four five six"
+    near, left, last, line = pii.Contexts(text).all()
+    lines = [x.split() for x in text.split("\n")]
+    words = [w for x in lines for w in x]
+    h = [pii._plain(w) for w in words]
+    place = [(x, k) for x in lines for k in range(len(x))]
+    for i in range(len(words)):
+        at = lambda k: np.array([h[k] if 0 <= k < len(h) else 0], np.uint64)
+        l2, l3, l1 = (int(x[0]) for x in pii.contexts_of(at(i - 2), at(i - 1), at(i + 1)))
+        assert (l3, l2, l1) == (near[i], left[i], last[i])
+        assert (line[i] != 0) == (1 <= place[i][1] <= 4)
+    assert pii._plain("Beta,") == pii._plain("beta") and pii._plain("x1") == pii._plain("y22") != pii._plain("xy")
+    found = [(text[a:b], k) for text in ('the key="ab12" (c3) d@e ' + "0a" * 16,) for a, b, k in pii.occurrences(text, [])]
+    assert found == [("ab12", -1), ("c3", -1), ("d@e", -1), ("0a" * 16, pii.SECRET)]
+
+
 ITEMS = [(1, "A train leaves Paris at 14 km per hour and returns to Paris after 20 minutes, how far did it go in total?"), (2, "Name the largest river that flows through the old town today"), (3, "too short"), (4, None)]
 
 
