@@ -14,23 +14,26 @@ from sparkloom.llm.common import load, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that fail the base rules or whose host is rejected."""
+    """Drops the documents that fail the base rules or whose host is rejected. A null or empty text fails; a null source is a host of
+    its own; repeated rows are judged alike and count each; an empty table stays empty."""
     return host_rules.keep_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that ten documents or more hold; n_chars is the length of what is left."""
+    """Takes lines out that ten documents or more hold; n_chars is the length of what is left. Every row stays, in the end perhaps with
+    an empty text; a null text stays null; repeated rows are documents of their own."""
     out = line_index.LineIndex.build(docs).rewrite(docs)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that of the least doc_id (null is the least; of equal ones any row). Null
+    and empty texts resemble nothing and stay."""
     return ngram_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item of the benchmark."""
+    """Drops the documents that hold an item of the benchmark. Null and empty texts are clean; without a benchmark all are."""
     return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 

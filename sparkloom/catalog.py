@@ -17,8 +17,19 @@ GRAPHS = {"tpch": tpch_graph, "events": events_graph, "turns": turns_graph, "doc
 ORD = 10**12
 
 
+#: Graphs that were opened, as long as their session lasts: a graph is the tables' names and schemas, no rows.
+_open: dict[tuple, PropertyGraph] = {}
+
+
+def opened(graph: str, spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    key = (graph, sf_dir, spark.sparkContext.applicationId, id(spark))
+    if key not in _open:
+        _open[key] = GRAPHS[graph](spark, sf_dir)
+    return _open[key]
+
+
 def gql(name: str, text: str, sql: str | None, graph: str = "tpch", **params) -> None:
-    Q[name] = (lambda spark, sf_dir: query(GRAPHS[graph](spark, sf_dir), text, params), sql)
+    Q[name] = (lambda spark, sf_dir: query(opened(graph, spark, sf_dir), text, params), sql)
 
 
 def frame(name: str, sql: str | None):
@@ -126,7 +137,7 @@ after("detach_delete", ["MATCH (c:Customer) WHERE c.c_acctbal < 0 DETACH DELETE
 after("delete_edges", ["MATCH ()-[e:PLACED]->(o {o_orderstatus: 'F'}) DELETE e"], "MATCH (c)-[e:PLACED]->(o) RETURN COUNT(*) AS n", "SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F'")
 
 
-@frame("delete_refused", None)
+@frame("delete_refused", "SELECT CASE WHEN EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey) THEN '23000' ELSE 'deleted' END AS state")
 def delete_refused(spark, sf_dir):
     from .errors import DataError
 
@@ -212,6 +223,42 @@ def range_clip(spark, sf_dir):
     return versions.clip(spans, spark.createDataFrame(RANGES, "range_id long, start_key string, end_key string")).select("span_start", "span_end", "range_id", "clip_start", "clip_end")
 
 
+CLIPPED = """SELECT s AS span_start, e AS span_end, r AS range_id, greatest(s, a) AS clip_start, least(e, b) AS clip_end FROM
+(SELECT DISTINCT 'u' || lpad(user_id::VARCHAR, 6, '0') AS s, 'u' || lpad((user_id + 7)::VARCHAR, 6, '0') AS e FROM events),
+(SELECT DISTINCT user_id // 5 AS r, 'u' || lpad((user_id // 5 * 5)::VARCHAR, 6, '0') AS a, 'u' || lpad((user_id // 5 * 5 + 5)::VARCHAR, 6, '0') AS b FROM events) WHERE s < b AND a < e"""
+
+
+def _key(user):
+    return F.concat(F.lit("u"), F.lpad(user.cast("string"), 6, "0"))
+
+
+@frame("range_clip_whole", CLIPPED)
+def range_clip_whole(spark, sf_dir):
+    """Spans of seven users from each on, cut at ranges of five, by the way for many ranges."""
+    user = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("u")).distinct()
+    spans = user.select(_key(F.col("u")).alias("span_start"), _key(F.col("u") + 7).alias("span_end"))
+    first = F.expr("u div 5")
+    ranges = user.select(first.alias("range_id")).distinct().select("range_id", _key(F.col("range_id") * 5).alias("start_key"), _key(F.col("range_id") * 5 + 5).alias("end_key"))
+    return versions.clip(spans, ranges, broadcast_ranges=0).select("span_start", "span_end", "range_id", "clip_start", "clip_end")
+
+
+@frame("value_histogram", "SELECT event_type AS op, le, count(value) FILTER (le IS NULL OR value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (50.0), (NULL)) t(le) GROUP BY event_type, le")
+def value_histogram(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("op"), "value")
+    return checks.histogram(e, [10.0, 50.0], value="value").select("op", "le", "n")
+
+
+@frame("hub_spread_whole", "SELECT user_id AS hub, count(DISTINCT event_id // 1000) AS n_ranges FROM events GROUP BY user_id")
+def hub_spread_whole(spark, sf_dir):
+    """In how many ranges of a thousand events the events of each user lie: their keys are routed to the ranges' starts."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("hub"), F.col("event_id").cast("long").alias("e"))
+    key = lambda c: F.lpad(c.cast("string"), 12, "0")
+    start = e.select(F.expr("e div 1000").alias("range_id")).distinct()
+    ranges = start.select("range_id", key(F.col("range_id") * 1000).alias("start_key"), key(F.col("range_id") * 1000 + 1000).alias("end_key"))
+    routed = versions.route(e.select(key(F.col("e")).alias("key")), ranges)
+    return e.withColumn("key", key(F.col("e"))).join(routed, "key").groupBy("hub").agg(F.count_distinct("range_id").alias("n_ranges"))
+
+
 @frame("route_keys", "SELECT 'u' || lpad(user_id::VARCHAR, 6, '0') AS key, CASE WHEN user_id < 30 THEN 1 WHEN user_id < 60 THEN 2 ELSE 3 END::BIGINT AS range_id FROM events")
 def route_keys(spark, sf_dir):
     return versions.route(_versions(spark, sf_dir).select("key"), spark.createDataFrame(RANGES, "range_id long, start_key string, end_key string"), 2)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
+from .versions import ranged
 
 EDGE_KEY = ["src", "type", "dst", "rank"]
 
@@ -46,13 +47,28 @@ def late_promotions(promotions: DataFrame, most: int) -> DataFrame:
 def percentile(samples: DataFrame, p: float, by: str = "op", value: str = "latency_ns", rule: str = "ceil") -> DataFrame:
     """By group: a sample at a rank. rule 'ceil': rank ceil(p n), from 1; 'floor': place min(floor(p n), n - 1), from 0.
 
-    Samples are counted by value before ranks are made up, so a task sees each distinct value of a group once.
+    Samples are counted by value; the distinct values are dealt by ranges of (group, value), and each part knows from a row for each
+    part and group how many samples come before it: no task sees all values of a group.
     """
-    counts = samples.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    dealt = ranged(samples.groupBy(by, value).agg(F.count(F.lit(1)).alias("c")), by, value)
+    sums = dealt.groupBy(by, "part").agg(F.sum("c").alias("c"))
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of = sums.select(F.col(by).alias("$by"), F.col("part").alias("$part"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(by)).alias("n"))
+    up = Window.partitionBy("part", by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = dealt.withColumn("here", F.sum("c").over(up)).join(of, (F.col("part") == F.col("$part")) & F.col(by).eqNullSafe(F.col("$by")))
+    upto = F.col("here") + F.col("before")
     place = F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) if rule == "ceil" else F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1) + 1
-    return ranked.where(F.col("upto") >= place).groupBy(by).agg(F.min(value).alias("value"))
+    return here.where(upto >= place).groupBy(by).agg(F.min(value).alias("value"))
+
+
+def histogram(samples: DataFrame, bounds: list[float], by: str = "op", value: str = "latency_ns") -> DataFrame:
+    """By group and upper bound (le; null: any): the samples at or below it, and their sum. Bounds are given, so a group is a row."""
+    if sorted(set(bounds)) != list(bounds):
+        raise DataError("bounds rise")
+    counts = [F.count_if(F.col(value) <= b).alias(f"n{k}") for k, b in enumerate(bounds)]
+    rows = samples.groupBy(by).agg(*counts, F.count(value).alias("n"), F.sum(value).alias("total"))
+    cells = [F.struct(F.lit(float(b)).alias("le"), F.col(f"n{k}").alias("n")) for k, b in enumerate(bounds)] + [F.struct(F.lit(None).cast("double").alias("le"), F.col("n").alias("n"))]
+    return rows.select(by, "total", F.explode(F.array(*cells)).alias("cell")).select(by, "cell.le", "cell.n", "total")
 
 
 def replica_counts(replicas: DataFrame, nodes: DataFrame) -> DataFrame:

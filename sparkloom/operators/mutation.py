@@ -16,15 +16,29 @@ from pyspark.sql import types as T
 
 from ..errors import DataError, GqlSyntaxError, InvalidParameter
 from ..functions.values import Value
-from ..gql import ast as A
+from ..gql.tree import Change, Element, Expr, Leaf, Op
 from ..plans.expressions import Expressions, identity
 from ..plans.matching import Matcher
 from ..plans.scope import Binding, Scope
-from ..sources.graph import EDGE_FIELDS, NODE_FIELDS, EdgeTable, NodeTable, PropertyGraph, common_type
+from ..sources.graph import EdgeTable, NodeTable, PropertyGraph, common_type
 from ..sources.tables import materialise
 
 EDGE_KEY = ("$src", "$dst", "$rank")
 MAX_DOCUMENT = 16 << 20
+#: Levels of lists and records within a property.
+MAX_DEPTH = 128
+
+
+def depth(kind: T.DataType) -> int:
+    if isinstance(kind, T.ArrayType):
+        return 1 + depth(kind.elementType)
+    return 1 + max((depth(f.dataType) for f in kind.fields), default=0) if isinstance(kind, T.StructType) else 0
+
+
+def shallow(value: Value) -> Value:
+    if depth(value.type) > MAX_DEPTH:
+        raise DataError(f"a property has at most {MAX_DEPTH} levels")
+    return value
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -46,30 +60,30 @@ class Mutator:
         return graph
 
     # --- INSERT
-    def insert(self, df: DataFrame | None, scope: Scope, clause: A.Insert) -> tuple[DataFrame, Scope]:
+    def insert(self, df: DataFrame | None, scope: Scope, clause: Change) -> tuple[DataFrame, Scope]:
         df = self.graph.spark.range(1).select() if df is None else df
         df = numbered(df)
         scope = dict(scope)
         salt = uuid.uuid4().int & 0x7FFFFFFF
-        for path in clause.paths:
+        for path in clause.targets:
             df, ids = self._insert_nodes(df, scope, path, salt)
             df = self._insert_edges(df, scope, path, ids)
         return df.drop("$row"), scope
 
     def _props(self, scope: Scope, props) -> list[tuple[str, Value]]:
         e = Expressions(scope, self.params)
-        return [(k, v) for k, v in ((k, e.value(x)) for k, x in props) if v.kind != "null"]
+        return [(k, v) for k, v in ((k, shallow(e.value(x))) for k, x in props) if v.kind != "null"]
 
-    def _insert_nodes(self, df, scope: Scope, path: A.Path, salt: int):
+    def _insert_nodes(self, df, scope: Scope, path: tuple[Element, ...], salt: int):
         ids: list[Column] = []
-        for k, pat in enumerate(path.elements[::2]):
+        for k, pat in enumerate(path[::2]):
             if pat.var in scope:
                 if scope[pat.var].kind != "node":
                     raise GqlSyntaxError(f"{pat.var} is no node")
                 ids.append(scope[pat.var].column("$id"))
                 continue
             labels = insert_labels(pat.labels)
-            props = self._props(scope, pat.props)
+            props = self._props(scope, pat.given)
             var = pat.var or f"$i{uuid.uuid4().hex[:12]}"
             given = dict(props).get("id")
             if given is not None and given.kind != "int":
@@ -95,16 +109,16 @@ class Mutator:
         if props and some(table.where(F.octet_length(F.to_json(F.struct(*[F.col(f"`{p}`") for p in props]))) > self.max_document)):
             raise DataError(f"properties of over {self.max_document} bytes")
 
-    def _insert_edges(self, df, scope: Scope, path: A.Path, ids: list[Column]):
-        for k, pat in enumerate(path.elements[1::2]):
-            if not isinstance(pat.labels, A.Label):
+    def _insert_edges(self, df, scope: Scope, path: tuple[Element, ...], ids: list[Column]):
+        for k, pat in enumerate(path[1::2]):
+            if not isinstance(pat.labels, Leaf):
                 raise GqlSyntaxError("an inserted edge has one type")
-            if pat.low is not None or pat.direction == "any":
+            if pat.hops is not None or pat.way == "any":
                 raise GqlSyntaxError("an inserted edge has a direction and no quantifier")
-            src, dst = (ids[k], ids[k + 1]) if pat.direction == "right" else (ids[k + 1], ids[k])
-            props = self._props(scope, pat.props)
+            src, dst = (ids[k], ids[k + 1]) if pat.way == "out" else (ids[k + 1], ids[k])
+            props = self._props(scope, pat.given)
             var = pat.var or f"$i{uuid.uuid4().hex[:12]}"
-            made = df.withColumns({f"{var}$src": src, f"{var}$dst": dst, f"{var}$type": F.lit(pat.labels.name), **{f"{var}$p${key}": v.col for key, v in props}})
+            made = df.withColumns({f"{var}$src": src, f"{var}$dst": dst, f"{var}$type": F.lit(pat.labels.value), **{f"{var}$p${key}": v.col for key, v in props}})
             there = self.graph.scan_edges(pat.labels, []).groupBy("$src", "$dst").agg(F.max("$rank").alias("$top"))
             on = (F.col(f"`{var}$src`") == F.col("`$src`")) & (F.col(f"`{var}$dst`") == F.col("`$dst`"))
             before = F.row_number().over(Window.partitionBy(f"{var}$src", f"{var}$dst").orderBy("$row"))
@@ -117,9 +131,14 @@ class Mutator:
             self._guard(table, [key for key, _ in b.props])
             self._ends(table)
             self.count += table.count()
-            self._done(df, self.graph.replaced(edges=(*self.graph.edges, EdgeTable(table, pat.labels.name))))
+            self._done(df, self._with_edges(table, pat.labels.value))
         return df
 
+    def _with_edges(self, table: DataFrame, type: str) -> PropertyGraph:
+        # that a node has one edge of this type at most was told of the edges so far
+        told = tuple(replace(t, src_single=False, dst_single=False) if t.type == type else t for t in self.graph.edges)
+        return self.graph.replaced(edges=(*told, EdgeTable(table, type)))
+
     def _ends(self, table: DataFrame) -> None:
         nodes = self.graph.scan_nodes(None, []).select("$id")
         ends = table.select(F.explode(F.array("$src", "$dst")).alias("$id"))
@@ -129,114 +148,122 @@ class Mutator:
     def bulk_edges(self, edges: DataFrame, type: str) -> PropertyGraph:
         """Edges $src, $dst, $rank and properties at once: ends are checked once, and none may exist already."""
         self._ends(edges)
-        if some(edges.groupBy(*EDGE_KEY).count().where("count > 1")) or some(edges.join(self.graph.scan_edges(A.Label(type), []).select(*EDGE_KEY), list(EDGE_KEY), "left_semi")):
+        if some(edges.groupBy(*EDGE_KEY).count().where("count > 1")) or some(edges.join(self.graph.scan_edges(Leaf("label", type), []).select(*EDGE_KEY), list(EDGE_KEY), "left_semi")):
             raise DataError("an edge of this type, ends and rank exists")
         table = materialise(edges, "bulk")
         self.count += table.count()
-        return self._done(table, self.graph.replaced(edges=(*self.graph.edges, EdgeTable(table, type))))
+        return self._done(table, self._with_edges(table, type))
 
     # --- SET and REMOVE
-    def set(self, df: DataFrame, scope: Scope, items, remove: bool = False) -> None:
+    def set(self, df: DataFrame, scope: Scope, targets, labels=None, remove: bool = False) -> None:
+        """Values are those before the clause. The writes of a clause to one variable's properties are one table of updates, joined to
+        the tables that can hold its elements: labels are those that the variable was matched with."""
         df = numbered(df)
-        for item in items:
-            if item.var not in scope:
-                raise GqlSyntaxError(f"unbound variable {item.var}")
-            b = scope[item.var]
+        for name in dict.fromkeys(t[0] for t in targets):
+            if name not in scope:
+                raise GqlSyntaxError(f"unbound variable {name}")
+            b = scope[name]
             if b.kind not in ("node", "edge"):
-                raise DataError(f"{item.var} is no node or edge")
-            if item.label is not None:
+                raise DataError(f"{name} is no node or edge")
+            own = [t for t in targets if t[0] == name]
+            here = (labels or {}).get(name)
+            fields = [t for t in own if t[1] != "label"]
+            if fields:
+                self._values(df, scope, b, fields, remove, here)
+            for _, _, label, _ in (t for t in own if t[1] == "label"):
                 if b.kind == "edge":
                     raise DataError("an edge has one type for good")
-                self._labels(df.where(b.column("$id").isNotNull()), b, item.label, remove)
-            else:
-                self._values(df, scope, b, item, remove)
+                self._labels(df.where(b.column("$id").isNotNull()), b, label, remove, here)
 
-    def _targets(self, df: DataFrame, b: Binding, value: Column | None) -> DataFrame:
-        """The last write of each element, by its identity."""
-        parts = identity(b)
-        keys = [b.column(p).alias(p) for p in parts]
-        rows = df.where(b.column(parts[0]).isNotNull()).select(*keys, "$row", (F.lit(True) if value is None else value).alias("$new"))
-        last = rows.groupBy(*parts).agg(F.max_by(F.struct("$new"), "$row").alias("$set"))
-        return materialise(last.select(*parts, F.col("$set.$new").alias("$new")), "updates")
-
-    def _count(self, df, b):
-        self.count += df.where(b.column(identity(b)[0]).isNotNull()).count()
-
-    def _values(self, df, scope: Scope, b: Binding, item: A.SetItem, remove: bool) -> None:
-        if remove:
-            value = Value(F.lit(None).cast("string"), T.NullType())
-        else:
-            value = Expressions(scope, self.params).value(item.value)
-        whole = item.key is None
-        if whole and value.kind != "record":
-            raise DataError("all properties are set from a record")
-        if not whole and b.kind == "node" and item.key == "id" and value.kind == "null" and not remove:
-            value = Value(F.lit(None).cast("string"), T.NullType())
-        updates = self._targets(df, b, value.col)
-        self._count(df, b)
-        fields = [(f.name, f.dataType, F.col("$new").getField(f.name)) for f in value.type.fields if f.name != "$"] if whole else [(item.key, value.type, F.col("$new"))]
+    def _tables(self, b: Binding, labels: Expr | None):
+        """The tables in which the elements of a variable can stand, by their place."""
         tables = self.graph.nodes if b.kind == "node" else self.graph.edges
-        fresh = tuple(self._updated(t, updates, b, fields, whole) for t in tables)
+        able = [id(t) for t in (self.graph.node_tables(labels) if b.kind == "node" else self.graph.edge_tables(labels))]
+        return tables, [id(t) in able for t in tables]
+
+    def _written(self, scope: Scope, b: Binding, part: str, key, expr, remove: bool):
+        """What one item writes: {property: value}, and whether all others go."""
+        nothing = Value(F.lit(None).cast("string"), T.NullType())
+        if part == "field":
+            return {key: nothing if remove else shallow(Expressions(scope, self.params).value(expr))}, False
+        value = shallow(Expressions(scope, self.params).value(expr))
+        if value.kind != "record":
+            raise DataError("all properties are set from a record")
+        return {f.name: Value(value.col.getField(f.name), f.dataType) for f in value.type.fields if f.name != "$"}, True
+
+    def _values(self, df, scope: Scope, b: Binding, items, remove: bool, labels) -> None:
+        fields: dict[str, Value] = {}
+        whole = False
+        for _, part, key, expr in items:
+            more, all_go = self._written(scope, b, part, key, expr, remove)
+            fields, whole = ({} if all_go else fields) | more, whole or all_go
+        # where rows write one property of an element several times the last row's value stays
+        parts = identity(b)
+        named = {k: f"$new{i}" for i, k in enumerate(fields)}
+        rows = df.where(b.column(parts[0]).isNotNull())
+        new = F.struct(F.lit(True).alias("$hit"), *[v.col.alias(named[k]) for k, v in fields.items()])
+        rows = rows.select(*[b.column(p).alias(p) for p in parts], "$row", new.alias("$new"))
+        last = materialise(rows.groupBy(*parts).agg(F.max_by("$new", "$row").alias("$new"), F.count(F.lit(1)).alias("$n")).select(*parts, "$new.*", "$n"), "updates")
+        self.count += (last.agg(F.sum("$n").alias("n")).first().n or 0) * len(items)
+        tables, able = self._tables(b, labels)
+        fresh = tuple(self._updated(t, last.drop("$n"), b, fields, named, whole) if there else t for t, there in zip(tables, able, strict=True))
         self._done(df, self.graph.replaced(**{"nodes" if b.kind == "node" else "edges": fresh}))
 
-    def _updated(self, table, updates: DataFrame, b: Binding, fields, whole: bool):
+    def _updated(self, table, updates: DataFrame, b: Binding, fields: dict[str, Value], named: dict[str, str], whole: bool):
         own = table.props
         if b.kind == "edge":
             updates = updates.where(F.col("$type") == table.type).drop("$type")
-            keys = list(EDGE_KEY)
-        else:
-            keys = ["$id"]
-        if all(isinstance(t, T.NullType) for _, t, _ in fields) and not whole and not any(k in own for k, _, _ in fields):
+        keys = list(EDGE_KEY) if b.kind == "edge" else ["$id"]
+        if not whole and all(isinstance(v.type, T.NullType) and k not in own for k, v in fields.items()):
             return table
-        joined = table.df.join(updates.withColumn("$hit", F.lit(True)), keys, "left")
         hit = F.col("$hit").isNotNull()
-        columns = [F.col(f"`{c}`") for c in table.df.columns if c in NODE_FIELDS or c in EDGE_FIELDS]
-        new = {k: (t, c) for k, t, c in fields}
-        for k in [*own, *[k for k in new if k not in own]]:
-            old_type = own.get(k, T.NullType())
-            if k in new:
-                kind = common_type([old_type, new[k][0]])
+        columns = [F.col(f"`{c}`") for c in table.df.columns if c.startswith("$")]
+        changed = []
+        for k in [*own, *[k for k in fields if k not in own]]:
+            if k in fields:
+                kind = common_type([own.get(k, T.NullType()), fields[k].type])
                 if isinstance(kind, T.NullType):
                     continue
                 old = F.col(f"`{k}`").cast(kind) if k in own else F.lit(None).cast(kind)
-                fresh = F.lit(None).cast(kind) if isinstance(new[k][0], T.NullType) else new[k][1].cast(kind)
+                fresh = F.lit(None).cast(kind) if isinstance(fields[k].type, T.NullType) else F.col(f"`{named[k]}`").cast(kind)
                 columns.append(F.when(hit, fresh).otherwise(old).alias(k))
-            elif whole:
-                columns.append(F.when(~hit, F.col(f"`{k}`")).alias(k))
+                changed.append(k)
             else:
-                columns.append(F.col(f"`{k}`"))
-        df = joined.select(*columns)
-        self._guard(df.where("false") if not fields else df, [k for k, _, _ in fields if k in df.columns])
-        return replace(table, df=df)
-
-    def _labels(self, df, b: Binding, label: str, remove: bool) -> None:
-        targets = materialise(df.select(b.column("$id").alias("$id")).distinct().withColumn("$hit", F.lit(True)), "updates")
-        self._count(df, b)
-        fresh = []
-        for t in self.graph.nodes:
-            if t.labels is not None and (label in t.labels) != remove:
+                columns.append(F.when(~hit, F.col(f"`{k}`")).alias(k) if whole else F.col(f"`{k}`"))
+        # written, so that later statements read a table and not a chain of joins
+        out = materialise(table.df.join(updates, keys, "left").select(*columns, hit.alias("$changed")), "updated")
+        self._guard(out.where("`$changed`"), changed)
+        return replace(table, df=out.drop("$changed"), **({"route": None} if b.kind == "node" and table.route and table.route.column in fields else {}))
+
+    def _labels(self, df, b: Binding, label: str, remove: bool, labels) -> None:
+        targets = materialise(df.groupBy(b.column("$id").alias("$id")).agg(F.count(F.lit(1)).alias("$n")).withColumn("$hit", F.lit(True)), "updates")
+        self.count += targets.agg(F.sum("$n").alias("n")).first().n or 0
+        targets, fresh = targets.drop("$n"), []
+        for t, there in zip(*self._tables(b, labels), strict=True):
+            if not there or (t.labels is not None and (label in t.labels) != remove):
                 fresh.append(t)
                 continue
-            labels = t.labels_column()
-            changed = F.array_remove(labels, label) if remove else F.array_sort(F.array_union(labels, F.array(F.lit(label))))
-            joined = t.df.withColumn("$labels", labels).join(targets, "$id", "left")
-            fresh.append(NodeTable(joined.withColumn("$labels", F.when(F.col("$hit"), changed if t.labels is None else _relabel(t.labels, label, remove)).otherwise(F.col("$labels"))).drop("$hit"), None))
+            now = t.labels_column()
+            changed = F.array_remove(now, label) if remove else F.array_sort(F.array_union(now, F.array(F.lit(label))))
+            joined = t.df.withColumn("$labels", now).join(targets, "$id", "left")
+            made = joined.withColumn("$labels", F.when(F.col("$hit"), changed if t.labels is None else _relabel(t.labels, label, remove)).otherwise(F.col("$labels"))).drop("$hit")
+            fresh.append(NodeTable(materialise(made, "relabelled"), None, t.route))
         # what was told of the labels at the ends of edges may no longer hold
-        edges = tuple(EdgeTable(t.df, t.type) if t.src_labels or t.dst_labels else t for t in self.graph.edges)
+        edges = tuple(replace(t, src_labels=None, dst_labels=None) for t in self.graph.edges)
         self._done(df, self.graph.replaced(nodes=tuple(fresh), edges=edges))
 
     # --- DELETE
-    def delete(self, df: DataFrame, scope: Scope, clause: A.Delete) -> None:
-        for var in clause.vars:
+    def delete(self, df: DataFrame, scope: Scope, clause: Change) -> None:
+        for var in clause.targets:
             if var not in scope:
                 raise GqlSyntaxError(f"unbound variable {var}")
         # edges go before nodes, so that DELETE e, n can take both
-        chosen = [scope[v] for v in clause.vars]
+        chosen = [scope[v] for v in clause.targets]
         for b in (b for b in chosen if b.kind == "edge"):
             self._delete_edges(df, b)
         nodes = [df.select(b.column("$id").alias("$id")).where("`$id` is not null") for b in chosen if b.kind == "node"]
         if nodes:
-            self._delete_nodes(materialise(reduce(DataFrame.unionByName, nodes).distinct(), "deleted"), clause.detach)
+            self._delete_nodes(materialise(reduce(DataFrame.unionByName, nodes).distinct(), "deleted"), clause.action == "detach")
 
     def _delete_edges(self, df, b: Binding) -> None:
         targets = materialise(df.select(*[b.column(p).alias(p) for p in identity(b)]).where("`$src` is not null").distinct(), "deleted")
@@ -264,7 +291,7 @@ class Mutator:
         elif some(touched):
             raise DataError("the node has edges; DETACH DELETE takes them along")
         self.count += self.graph.scan_nodes(None, []).join(ids, "$id", "left_semi").count()
-        self._done(ids, self.graph.replaced(nodes=tuple(NodeTable(t.df.join(ids, "$id", "left_anti"), t.labels) for t in self.graph.nodes)))
+        self._done(ids, self.graph.replaced(nodes=tuple(replace(t, df=t.df.join(ids, "$id", "left_anti")) for t in self.graph.nodes)))
         return removed
 
 
@@ -273,13 +300,13 @@ def _relabel(labels, label: str, remove: bool) -> Column:
     return F.array(*map(F.lit, now)).cast("array<string>")
 
 
-def insert_labels(expr: A.Node | None) -> tuple[str, ...]:
+def insert_labels(expr: Expr | None) -> tuple[str, ...]:
     if expr is None:
         return ()
-    if isinstance(expr, A.Label):
-        return (expr.name,)
-    if isinstance(expr, A.BothLabels):
-        return tuple(sorted({*insert_labels(expr.left), *insert_labels(expr.right)}))
+    if isinstance(expr, Leaf):
+        return (expr.value,)
+    if expr.name == "&":
+        return tuple(sorted({x for a in expr.args for x in insert_labels(a)}))
     raise GqlSyntaxError("an inserted node has labels joined by &")
 
 

@@ -49,20 +49,11 @@ def scan_end(page: DataFrame, limit: int) -> DataFrame:
     return page.agg(last.alias("read_end"))
 
 
-def clip(spans: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Spans cut at the borders of ranges: span columns, range_id, clip_start, clip_end. ranges is the small side."""
-    open_end, open_range = F.octet_length("span_end") == 0, F.octet_length("end_key") == 0
-    meets = (F.col("span_start") < F.col("end_key")) | open_range
-    meets &= (F.col("start_key") < F.col("span_end")) | open_end
-    end = F.when(open_range, F.col("span_end")).when(open_end, F.col("end_key")).otherwise(F.least("span_end", "end_key"))
-    return spans.join(ranges, meets).withColumn("clip_start", F.greatest("span_start", "start_key")).withColumn("clip_end", end)
-
-
-#: Lists of ranges up to this length go to every task.
+#: Lists of ranges or keys up to this length go to every task.
 BROADCAST_RANGES = 1_000
 
 
-def _ranged(df: DataFrame, *keys: str) -> DataFrame:
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by ranges of the keys and written with the number of their part."""
     return materialise(df.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "ranged")
 
@@ -74,7 +65,7 @@ def route(keys: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_
         return keys.join(F.broadcast(ranges), within(F.col("start_key"), F.col("end_key"), F.col("key"))).select("key", "range_id")
     owner = ranges.schema["range_id"].dataType
     starts = ranges.select(F.col("start_key").alias("key"), F.lit(0).alias("side"), "range_id")
-    both = _ranged(keys.select("key", F.lit(1).alias("side"), F.lit(None).cast(owner).alias("range_id")).unionByName(starts), "key", "side")
+    both = ranged(keys.select("key", F.lit(1).alias("side"), F.lit(None).cast(owner).alias("range_id")).unionByName(starts), "key", "side")
     last, carried = None, []
     for r in sorted(both.groupBy("part").agg(F.max_by("range_id", F.when(F.col("side") == 0, F.col("key"))).alias("last")).collect()):
         carried.append((r.part, last))
@@ -85,9 +76,46 @@ def route(keys: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_
     return found.join(F.broadcast(before), "part").select("key", F.coalesce("found", "before").alias("range_id"))
 
 
+def _places(rows: DataFrame, key: str, starts: DataFrame, upto: bool, name: str) -> DataFrame:
+    """The rows with the number of starts (start_key) before their key, or, upto, not after it. Rows and starts are dealt by key; a
+    part knows the starts of the parts before it from a row for each part."""
+    side = F.lit(0 if upto else 2)
+    own = rows.select(F.col(key).alias("key"), F.lit(1).alias("side"), F.struct(*rows.columns).alias("row"))
+    kind = own.schema["row"].dataType
+    both = ranged(own.unionByName(starts.select(F.col("start_key").alias("key"), side.alias("side"), F.lit(None).cast(kind).alias("row"))), "key", "side")
+    before, n = [], 0
+    for r in sorted(both.groupBy("part").agg(F.count_if(F.col("side") != 1).alias("n")).collect()):
+        before.append((r.part, n))
+        n += r.n
+    up = Window.partitionBy("part").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("here", F.count_if(F.col("side") != 1).over(up)).where("side = 1")
+    behind = rows.sparkSession.createDataFrame(before, "part int, behind long")
+    return counted.join(F.broadcast(behind), "part").select("row.*", (F.col("here") + F.col("behind")).alias(name))
+
+
+def clip(spans: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
+    """Spans cut at the borders of ranges, which do not overlap: span columns, range columns, clip_start, clip_end. Few ranges go to
+    every task; of many, a span finds the first and the last it meets by their places in the order of keys."""
+    open_end, open_range = F.octet_length("span_end") == 0, F.octet_length("end_key") == 0
+    meets = (F.col("span_start") < F.col("end_key")) | open_range
+    meets &= (F.col("start_key") < F.col("span_end")) | open_end
+    n = ranges.count()
+    if n <= broadcast_ranges:
+        joined = spans.join(F.broadcast(ranges), meets)
+    else:
+        numbered = _places(ranges, "start_key", ranges, True, "$place")
+        placed = _places(_places(spans, "span_start", ranges, True, "$first"), "span_end", ranges, False, "$last")
+        last = F.when(open_end, F.lit(n).cast("long")).otherwise(F.col("$last"))
+        met = placed.withColumn("$last", last).where(F.col("$last") >= F.greatest(F.col("$first"), F.lit(1)))
+        met = met.withColumn("$place", F.explode(F.sequence(F.greatest(F.col("$first"), F.lit(1).cast("long")), F.col("$last"))))
+        joined = met.join(numbered, "$place").where(meets).select(*spans.columns, *ranges.columns)
+    end = F.when(open_range, F.col("span_end")).when(open_end, F.col("end_key")).otherwise(F.least("span_end", "end_key"))
+    return joined.withColumn("clip_start", F.greatest("span_start", "start_key")).withColumn("clip_end", end)
+
+
 def at_place(df: DataFrame, key: str, place: int) -> DataFrame:
     """The row at a place, from 0, of the order of a key: found among the parts of its range, of which one is sorted."""
-    dealt = _ranged(df, key)
+    dealt = ranged(df, key)
     for r in sorted(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
         if place < r.n:
             return dealt.where(F.col("part") == r.part).drop("part").orderBy(key).offset(place).limit(1)
@@ -111,11 +139,18 @@ def write_conflicts(writes: DataFrame, versions: DataFrame, intents: DataFrame,
     return writes.select("key").join(newer.unionByName(foreign), "key", "left_semi").distinct()
 
 
-def read_conflicts(spans: DataFrame, versions: DataFrame, intents: DataFrame, start_ts: int, commit_ts: int, txn_id: str) -> DataFrame:
-    """Spans read in which a version of (start_ts, commit_ts] or a foreign intent lies: phantoms count."""
+def read_conflicts(spans: DataFrame, versions: DataFrame, intents: DataFrame, start_ts: int, commit_ts: int, txn_id: str, broadcast_keys: int = BROADCAST_RANGES) -> DataFrame:
+    """Spans read in which a version of (start_ts, commit_ts] or a foreign intent lies: phantoms count. Few changed keys go to every
+    task; of many, a span counts those before its start and before its end."""
     changed = versions.where((F.col("commit_ts") > start_ts) & (F.col("commit_ts") <= commit_ts)).select("key")
-    changed = changed.unionByName(intents.where(F.col("txn_id") != txn_id).select("key")).distinct()
-    return spans.join(changed, within(F.col("span_start"), F.col("span_end"), F.col("key")), "left_semi")
+    changed = materialise(changed.unionByName(intents.where(F.col("txn_id") != txn_id).select("key")).distinct(), "changed")
+    n = changed.count()
+    if n <= broadcast_keys:
+        return spans.join(F.broadcast(changed), within(F.col("span_start"), F.col("span_end"), F.col("key")), "left_semi")
+    keys = changed.withColumnRenamed("key", "start_key")
+    placed = _places(_places(spans, "span_start", keys, False, "$first"), "span_end", keys, False, "$last")
+    last = F.when(F.octet_length("span_end") == 0, F.lit(n).cast("long")).otherwise(F.col("$last"))
+    return placed.where(last > F.col("$first")).select(*spans.columns)
 
 
 def prewrite(writes, versions, intents, start_ts: int, txn_id: str) -> None:

@@ -9,32 +9,31 @@ from pyspark.sql import types as T
 from ..errors import DataError, GqlSyntaxError, UnsupportedFeature
 from ..functions import values as V
 from ..functions.values import Value
-from ..gql import ast as A
 from ..gql.parser import AGGREGATES
+from ..gql.tree import Expr, Give, Leaf, Op, is_op, is_var, nodes_of, var
 from .expressions import Expressions, identity
-from .matching import Matcher, walk
+from .matching import Matcher
 from .scope import Binding, Scope
 
 
-def item_name(expr: A.Node) -> str:
-    if isinstance(expr, A.Var):
-        return expr.name
-    if isinstance(expr, A.Prop):
-        return f"{item_name(expr.base)}.{expr.key}"
-    if isinstance(expr, A.Call):
-        return expr.name.lower()
-    return "trim" if isinstance(expr, A.Trim) else "expr"
+def item_name(expr: Expr) -> str:
+    if is_var(expr):
+        return expr.value
+    if is_op(expr, "field"):
+        return f"{item_name(expr.args[0])}.{expr.tag}"
+    if is_op(expr, "call"):
+        return expr.tag[0].lower()
+    return "trim" if is_op(expr, "trim") else "expr"
 
 
-def is_aggregate(expr: A.Node) -> bool:
-    return isinstance(expr, A.Call) and expr.name in AGGREGATES
+def is_aggregate(expr: Expr) -> bool:
+    return is_op(expr, "call") and expr.tag[0] in AGGREGATES
 
 
-def project(matcher: Matcher, df: DataFrame, scope: Scope, clause: A.Return) -> DataFrame:
+def project(matcher: Matcher, df: DataFrame, scope: Scope, clause: Give) -> DataFrame:
     items = clause.items
     if items is None:
-        shown = sorted(v for v in scope if not v.startswith("$"))
-        items = tuple((A.Var(v), None) for v in shown)
+        items = tuple((var(v), None) for v in sorted(v for v in scope if not v.startswith("$")))
     names = [alias or item_name(e) for e, alias in items]
     if any(is_aggregate(e) for e, _ in items):
         if not all(is_aggregate(e) for e, _ in items):
@@ -51,48 +50,48 @@ def project(matcher: Matcher, df: DataFrame, scope: Scope, clause: A.Return) ->
         if alias:
             aliases.setdefault(alias, Binding("value", f"$out{k}", type=v.type))
     df = df.withColumns({c: v.col for c, v in outputs}) if outputs else df
-    keys: list[tuple[Column, A.SortKey]] = []
+    keys: list[tuple[Column, bool, bool | None]] = []
     if clause.order:
         # a variable of the rows wins over an alias of the same name
         seen = {**aliases, **inner}
         ordered = {}
-        for k, key in enumerate(clause.order):
-            df, seen, of = matcher.marked(df, seen, key.of)
+        for k, (of, falling, first) in enumerate(clause.order):
+            df, seen, of = matcher.marked(df, seen, of)
             ordered[f"$key{k}"] = Expressions(seen, matcher.params).value(of).col
-            keys.append((F.col(f"$key{k}"), key))
+            keys.append((F.col(f"$key{k}"), falling, first))
         df = df.withColumns(ordered)
     outs = [c for c, _ in outputs]
-    df = df.select(*[F.col(c) for c in outs], *[c for c, _ in keys])
+    df = df.select(*[F.col(c) for c in outs], *[c for c, _, _ in keys])
     if clause.distinct:
         df = df.dropDuplicates(outs) if outs else df.limit(1)
     if keys:
-        df = df.orderBy(*[direction(c, k) for c, k in keys])
+        df = df.orderBy(*[direction(*k) for k in keys])
     return page(matcher, df, clause).select(*[F.col(c) for c in outs]).toDF(*names)
 
 
-def direction(c: Column, key: A.SortKey) -> Column:
+def direction(c: Column, falling: bool, first: bool | None) -> Column:
     """Nulls stand last when ascending and first when descending, unless told otherwise."""
-    first = key.descending if key.nulls_first is None else key.nulls_first
-    if key.descending:
+    first = falling if first is None else first
+    if falling:
         return c.desc_nulls_first() if first else c.desc_nulls_last()
     return c.asc_nulls_first() if first else c.asc_nulls_last()
 
 
-def page(matcher: Matcher, df: DataFrame, clause: A.Return) -> DataFrame:
-    offset, limit = (None if e is None else count(matcher, e) for e in (clause.offset, clause.limit))
+def page(matcher: Matcher, df: DataFrame, clause: Give) -> DataFrame:
+    offset, limit = (None if e is None else count(matcher, e) for e in (clause.skip, clause.take))
     if offset:
         df = df.offset(offset)
     return df if limit is None else df.limit(min(limit, (1 << 31) - 1))
 
 
-def count(matcher: Matcher, expr: A.Node) -> int:
+def count(matcher: Matcher, expr: Expr) -> int:
     """A constant number of rows."""
-    if isinstance(expr, A.Literal):
+    if isinstance(expr, Leaf) and expr.kind == "param":
+        if expr.value not in matcher.params:
+            raise GqlSyntaxError(f"missing parameter ${expr.value}")
+        n = matcher.params[expr.value]
+    elif isinstance(expr, Leaf) and expr.kind != "var":
         n = expr.value
-    elif isinstance(expr, A.Param):
-        if expr.name not in matcher.params:
-            raise GqlSyntaxError(f"missing parameter ${expr.name}")
-        n = matcher.params[expr.name]
     else:
         v = Expressions({}, matcher.params).value(expr)
         n = matcher.graph.spark.range(1).select(v.col.alias("n")).first().n
@@ -101,41 +100,44 @@ def count(matcher: Matcher, expr: A.Node) -> int:
     return n
 
 
-def aggregate(matcher: Matcher, df: DataFrame, scope: Scope, calls: list[A.Call]) -> DataFrame:
+def aggregate(matcher: Matcher, df: DataFrame, scope: Scope, calls: list[Op]) -> DataFrame:
     columns = []
     for k, call in enumerate(calls):
-        if any(is_aggregate(x) for a in call.args for x in walk(a)):
+        name, how = call.tag
+        if any(is_aggregate(x) for a in call.args for x in nodes_of(a)):
             raise GqlSyntaxError("aggregates don't nest")
-        if not call.star and not call.args:
-            raise GqlSyntaxError(f"{call.name} needs an argument")
-        if not call.star:
-            df, scope, arg = matcher.marked(df, scope, call.args[0])
-        columns.append((F.count(F.lit(1)) if call.star else _aggregate(call, Expressions(scope, matcher.params), arg)).alias(f"$out{k}"))
+        if how != "*" and not call.args:
+            raise GqlSyntaxError(f"{name} needs an argument")
+        if how == "*":
+            columns.append(F.count(F.lit(1)).alias(f"$out{k}"))
+            continue
+        df, scope, arg = matcher.marked(df, scope, call.args[0])
+        columns.append(_aggregate(name, how == "distinct", Expressions(scope, matcher.params), arg).alias(f"$out{k}"))
     return df.agg(*columns)
 
 
-def _aggregate(call: A.Call, e: Expressions, arg: A.Node) -> Column:
+def _aggregate(name: str, distinct: bool, e: Expressions, arg: Expr) -> Column:
     b = e._element(arg, "node", "edge")
-    if call.name == "COUNT":
+    if name == "COUNT":
         if b is not None:
             parts = [b.column(p) for p in identity(b)]
-            return F.count_distinct(*parts) if call.distinct else F.count(parts[0])
+            return F.count_distinct(*parts) if distinct else F.count(parts[0])
         v = e.value(arg)
-        return F.count_distinct(v.col) if call.distinct else F.count(v.col)
+        return F.count_distinct(v.col) if distinct else F.count(v.col)
     v = e.value(arg)
-    if call.name in ("MIN", "MAX"):
+    if name in ("MIN", "MAX"):
         if v.kind in ("record", "variant"):
-            raise DataError(f"{call.name} can't order {v.kind}s")
-        return F.min(v.col) if call.name == "MIN" else F.max(v.col)
+            raise DataError(f"{name} can't order {v.kind}s")
+        return F.min(v.col) if name == "MIN" else F.max(v.col)
     if v.kind == "variant":
         v = V.cast(v, "float")
     if v.kind not in (*V.NUMBERS, "null"):
-        raise DataError(f"{call.name} needs numbers, not {v.kind}")
+        raise DataError(f"{name} needs numbers, not {v.kind}")
     if v.kind == "null":
         return F.max(v.col.cast("double"))
-    if call.name == "AVG":
+    if name == "AVG":
         total = v.col.cast("double")
-        return F.sum_distinct(total) / F.count_distinct(total) if call.distinct else F.avg(total)
+        return F.sum_distinct(total) / F.count_distinct(total) if distinct else F.avg(total)
     if v.kind == "decimal":
         v = Value(v.col.cast(T.DecimalType(38, v.type.scale)), v.type)
-    return F.sum_distinct(v.col) if call.distinct else F.sum(v.col)
+    return F.sum_distinct(v.col) if distinct else F.sum(v.col)

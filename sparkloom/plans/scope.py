@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..gql import ast as A
+from ..errors import GqlSyntaxError
+from ..gql.tree import Bind, Change, Element, Expr, Find, Give, Keep, Leaf, Op, Query, is_op, is_var
 
 ALL = object()
 
@@ -43,94 +43,98 @@ class Binding:
 Scope = dict[str, Binding]
 
 
-def children(node) -> list:
-    out = []
-    for f in dataclasses.fields(node):
-        stack = [getattr(node, f.name)]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, A.Node):
-                out.append(x)
-            elif isinstance(x, tuple):
-                stack.extend(x)
-    return out
-
-
-def variables(node: A.Node | None) -> set[str]:
+def variables(node: Expr | None) -> set[str]:
     """Free variables of an expression."""
+    if isinstance(node, Leaf):
+        return {node.value} if node.kind == "var" else set()
     if node is None:
         return set()
-    if isinstance(node, A.Var):
-        return {node.name}
-    if isinstance(node, A.Call) and node.name == "PROPERTY_EXISTS":
-        return variables(node.args[0]) if node.args else set()
-    if isinstance(node, A.Exists):
-        own = {e.var for p in node.paths for e in p.elements if e.var}
-        inner = set().union(*[variables(x) for p in node.paths for e in p.elements for x in [e.where, *[v for _, v in e.props]]], set())
-        return own | inner
-    return set().union(*[variables(c) for c in children(node)], set())
-
-
-def needs(query: A.Query) -> dict[str, object]:
+    if node.name == "exists":
+        elements = [e for path in node.tag for e in path]
+        return {e.var for e in elements if e.var} | set().union(*[variables(x) for e in elements for x in e.expressions()])
+    args = node.args[:1] if is_op(node, "call") and node.tag[0] == "PROPERTY_EXISTS" else node.args
+    return set().union(*map(variables, args))
+
+
+class _Needs:
+    def __init__(self):
+        self.out: dict[str, object] = {}
+        self.stands: list[tuple[str, bool]] = []
+
+    def add(self, of: str, key: str) -> None:
+        if self.out.get(of) is not ALL:
+            self.out.setdefault(of, set()).add(key)
+
+    def expr(self, node: Expr | None) -> None:
+        if is_var(node):
+            self.out[node.value] = ALL
+        if not isinstance(node, Op):
+            return
+        args = node.args
+        if node.name == "exists":
+            for path in node.tag:
+                self.path(path)
+        elif node.name == "field" and is_var(args[0]):
+            self.add(args[0].value, node.tag)
+            args = ()
+        elif node.name == "call":
+            name, how = node.tag
+            if name == "PROPERTY_EXISTS" and len(args) == 2 and is_var(args[0]):
+                self.add(args[0].value, property_name(args[1]))
+                args = ()
+            elif name in ("ELEMENT_ID", "SAME", "ALL_DIFFERENT") or (name == "COUNT" and how != "distinct"):
+                args = tuple(a for a in args if not is_var(a))
+        elif node.name in ("is labeled", "is directed", "is source", "is destination", "is null"):
+            # what an element is, not what it has
+            if node.name == "is labeled":
+                if is_var(args[0]):
+                    self.add("$labels", args[0].value)
+                args = args[:1]
+            args = tuple(a for a in args if not is_var(a))
+        for a in args:
+            self.expr(a)
+
+    def path(self, path: tuple[Element, ...]) -> None:
+        for e in path:
+            if e.var:
+                self.stands.append((e.var, e.labels is not None))
+                for k, _ in e.given:
+                    self.add(e.var, k)
+            for x in e.expressions():
+                self.expr(x)
+
+    def clause(self, c) -> None:
+        if isinstance(c, Find) or (isinstance(c, Change) and c.action == "insert"):
+            for path in c.paths if isinstance(c, Find) else c.targets:
+                self.path(path)
+        if isinstance(c, (Find, Keep)):
+            for t in c.tests:
+                self.expr(t)
+        if isinstance(c, Bind):
+            self.expr(c.value)
+        if isinstance(c, Change) and c.action in ("set", "remove"):
+            for _, _, _, value in c.targets:
+                self.expr(value)
+        if isinstance(c, Give):
+            if c.items is None:
+                self.out["*"] = ALL
+            for x in [*[e for e, _ in c.items or ()], *[e for e, _, _ in c.order], c.skip, c.take]:
+                self.expr(x)
+
+
+def needs(query: Query) -> dict[str, object]:
     """Properties that the query asks of each variable; ALL where it takes the whole element."""
-    out: dict[str, object] = {}
-    stands: list[tuple[str, bool]] = []
-
-    def add(var, key):
-        if out.get(var) is not ALL:
-            out.setdefault(var, set()).add(key)
-
-    def visit(node):
-        if isinstance(node, A.Prop) and isinstance(node.base, A.Var):
-            return add(node.base.name, node.key)
-        if isinstance(node, A.Var):
-            out[node.name] = ALL
-            return None
-        if isinstance(node, A.Call):
-            args = node.args
-            if node.name == "PROPERTY_EXISTS" and len(args) == 2 and isinstance(args[0], A.Var):
-                return add(args[0].name, property_name(args[1]))
-            if node.name in ("ELEMENT_ID", "SAME", "ALL_DIFFERENT") or (node.name == "COUNT" and not node.distinct):
-                args = [a for a in args if not isinstance(a, A.Var)]
-            for a in args:
-                visit(a)
-            return None
-        if isinstance(node, (A.IsLabeled, A.IsDirected, A.IsEnd, A.IsNull)):
-            if isinstance(node, A.IsLabeled) and isinstance(node.of, A.Var):
-                add("$labels", node.of.name)
-            for a in children(node):
-                if not isinstance(a, A.Var) and a not in (getattr(node, "labels", None),):
-                    visit(a)
-            return None
-        if isinstance(node, (A.NodePattern, A.EdgePattern)):
-            if node.var:
-                stands.append((node.var, node.labels is not None))
-            for k, v in node.props:
-                if node.var:
-                    add(node.var, k)
-                visit(v)
-            if node.where is not None:
-                visit(node.where)
-            return None
-        if isinstance(node, A.Return) and node.items is None:
-            out["*"] = ALL
-        for c in children(node):
-            visit(c)
-        return None
-
-    visit(query)
+    found = _Needs()
+    for c in query.clauses:
+        found.clause(c)
     # labels of a variable that stands in several patterns are tested on what binds it
-    for var, labelled in stands:
-        if labelled and sum(v == var for v, _ in stands) > 1:
-            add("$labels", var)
-    return out
+    for var, labelled in found.stands:
+        if labelled and sum(v == var for v, _ in found.stands) > 1:
+            found.add("$labels", var)
+    return found.out
 
 
-def property_name(node: A.Node) -> str:
-    if isinstance(node, A.Var):
-        return node.name
-    if isinstance(node, A.Literal) and node.type == "string":
+def property_name(node: Expr) -> str:
+    if isinstance(node, Leaf) and node.kind in ("var", "string"):
         return node.value
-    from ..errors import GqlSyntaxError
-
     raise GqlSyntaxError("PROPERTY_EXISTS names a property")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .errors import DataError, GqlSyntaxError, GraphError, InvalidParameter, SerializationConflict, translate
 from .functions import values as V
-from .gql import ast as A
 from .gql.parser import parse
+from .gql.tree import Bind, Change, Control, Find, Give, Keep, Query
 from .operators.mutation import MAX_DOCUMENT, Mutator, document_limit
 from .plans.expressions import Expressions
 from .plans.matching import Matcher
@@ -41,48 +41,69 @@ class Result:
             raise translate(e) from e
 
 
-def run(graph: PropertyGraph, query: A.Query, params: dict | None = None, max_document: int = MAX_DOCUMENT) -> tuple[Result, PropertyGraph]:
+def run(graph: PropertyGraph, query: Query, params: dict | None = None, max_document: int = MAX_DOCUMENT) -> tuple[Result, PropertyGraph]:
     """A query on one version; the version after it."""
     if query.graph not in (None, "default", graph.name, str(graph.number)):
         raise GqlSyntaxError(f"no graph {query.graph}")
-    matcher = Matcher(graph, needs(query), params or {})
-    mutator = Mutator(matcher, max_document)
-    df, scope, rows = None, {}, None
-    unit = lambda: graph.spark.range(1).select() if df is None else df
+    state = _Run(graph, query, params, max_document)
     for clause in query.clauses:
-        if isinstance(clause, A.Match):
-            df, scope = matcher.match(df, scope, clause)
-        elif isinstance(clause, A.Filter):
-            df = matcher.filter(unit(), scope, clause.condition)
-        elif isinstance(clause, A.Let):
-            for var, expr in clause.items:
-                df, marked, expr = matcher.marked(unit(), scope, expr)
-                v = Expressions(marked, matcher.params).value(expr)
-                df = df.withColumn(var, v.col)
-                scope = {**scope, var: Binding("value", var, type=v.type)}
-        elif isinstance(clause, A.For):
-            v = Expressions(scope, matcher.params).value(clause.list)
+        getattr(state, type(clause).__name__.lower())(clause)
+    return Result(state.out, state.mutator.count), state.mutator.graph
+
+
+class _Run:
+    """A query's binding table and scope from clause to clause."""
+
+    def __init__(self, graph, query, params, max_document):
+        self.matcher = Matcher(graph, needs(query), params or {})
+        self.mutator = Mutator(self.matcher, max_document)
+        self.df, self.scope, self.out = None, {}, None
+        #: labels that variables were matched with, while these hold
+        self.labels: dict = {}
+
+    def rows(self) -> DataFrame:
+        return self.matcher.graph.spark.range(1).select() if self.df is None else self.df
+
+    def find(self, c: Find) -> None:
+        fresh = {e.var: e.labels for p in c.paths for e in p if e.var and e.labels is not None and e.var not in self.scope}
+        self.df, self.scope = self.matcher.match(self.df, self.scope, c)
+        self.labels |= fresh
+
+    def keep(self, c: Keep) -> None:
+        self.df = self.matcher.filter(self.rows(), self.scope, c.tests)
+
+    def bind(self, c: Bind) -> None:
+        if c.each:
+            v = Expressions(self.scope, self.matcher.params).value(c.value)
             if v.kind not in ("list", "null"):
                 raise DataError(f"FOR needs a list, not {v.kind}")
             kind = v.type.elementType if v.kind == "list" else V.null().type
             items = v.col if v.kind == "list" else F.array().cast("array<void>")
-            df = unit().select("*", F.explode(items).alias(clause.var))
-            scope = {**scope, clause.var: Binding("value", clause.var, type=kind)}
-        elif isinstance(clause, A.Insert):
-            df, scope = mutator.insert(df, scope, clause)
-        elif isinstance(clause, (A.SetClause, A.Remove)):
-            mutator.set(unit(), scope, clause.items, isinstance(clause, A.Remove))
-        elif isinstance(clause, A.Delete):
-            mutator.delete(unit(), scope, clause)
+            self.df = self.rows().select("*", F.explode(items).alias(c.var))
         else:
-            rows = project(matcher, unit(), scope, clause)
-    return Result(rows, mutator.count), mutator.graph
+            df, marked, expr = self.matcher.marked(self.rows(), self.scope, c.value)
+            v = Expressions(marked, self.matcher.params).value(expr)
+            self.df, kind = df.withColumn(c.var, v.col), v.type
+        self.scope = {**self.scope, c.var: Binding("value", c.var, type=kind)}
+
+    def change(self, c: Change) -> None:
+        if c.action == "insert":
+            self.df, self.scope = self.mutator.insert(self.df, self.scope, c)
+        elif c.action in ("set", "remove"):
+            self.mutator.set(self.rows(), self.scope, c.targets, self.labels, c.action == "remove")
+            if any(part == "label" for _, part, _, _ in c.targets):
+                self.labels = {}
+        else:
+            self.mutator.delete(self.rows(), self.scope, c)
+
+    def give(self, c: Give) -> None:
+        self.out = project(self.matcher, self.rows(), self.scope, c)
 
 
 def query(graph: PropertyGraph, text: str, params: dict | None = None) -> DataFrame:
     """The rows of a query that only reads."""
     statement = parse(text)
-    if not isinstance(statement, A.Query):
+    if not isinstance(statement, Query):
         raise InvalidParameter("not a query")
     result, after = run(graph, statement, params)
     if result.mutations or after is not graph:
@@ -127,22 +148,24 @@ class Session:
 
     def execute(self, text: str, params: dict | None = None) -> Result:
         statement = parse(text)
-        if isinstance(statement, A.StartTransaction):
+        if isinstance(statement, Control):
+            return self._control(statement)
+        return self._within(statement, params) if self._open is not None else self._alone(statement, params)
+
+    def _control(self, statement: Control) -> Result:
+        if statement.action == "start":
             if self._open is not None:
                 raise InvalidParameter("a transaction is open already")
             self._open = (*self.store.snapshot(), statement.read_only)
-            return Result()
-        if isinstance(statement, A.Commit):
+        elif statement.action == "commit":
             if self._open is None:
                 raise InvalidParameter("no transaction is open")
             (base, graph, _), self._open = self._open, None
             if graph is not self.store.snapshot()[1]:
                 self.store.commit(base, graph)
-            return Result()
-        if isinstance(statement, A.Rollback):
+        else:
             self._open = None
-            return Result()
-        return self._within(statement, params) if self._open is not None else self._alone(statement, params)
+        return Result()
 
     def _within(self, statement, params) -> Result:
         """Within a transaction nothing is tried again, and any error ends it."""

@@ -1,7 +1,8 @@
 """Graphs in a folder that Spark can reach: tables as Parquet, and a manifest for each version.
 
-A version is published by creating its manifest, which fails if the file is there: of two writers that start from one version,
-one wins and the other has a conflict. Tables that a version shares with the one before are not written again. Rows are sorted
+A version is published by giving its manifest, written under another name, the name of the version, which fails if that is taken:
+readers see whole manifests only, and of two writers that start from one version one wins and the other has a conflict. That holds
+on local disks (a hard link) and on HDFS (a rename); object stores whose rename is a copy do not exclude a second writer. Tables that a version shares with the one before are not written again. Rows are sorted
 by their identifiers, so that a lookup reads few row groups.
 """
 
@@ -14,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SerializationConflict, Unavailable
-from .graph import EdgeTable, NodeTable, PropertyGraph, wide
+from .graph import EdgeTable, NodeTable, PropertyGraph, Route, wide
 
 
 class DiskStore:
@@ -51,8 +52,9 @@ class DiskStore:
             raise Unavailable(f"no graph in {self.root}")
         version = known[-1] if version is None else version
         manifest = self._read(version)
-        nodes = tuple(self._table(x, lambda df, x: NodeTable(df, None if x["labels"] is None else tuple(x["labels"]))) for x in manifest["nodes"])
-        edges = tuple(self._table(x, lambda df, x: EdgeTable(df, x["type"], *[None if e is None else tuple(e) for e in x["ends"]])) for x in manifest["edges"])
+        route = lambda r: None if r is None else Route(*r)
+        nodes = tuple(self._table(x, lambda df, x: NodeTable(df, None if x["labels"] is None else tuple(x["labels"]), route(x.get("route")))) for x in manifest["nodes"])
+        edges = tuple(self._table(x, lambda df, x: EdgeTable(df, x["type"], *[None if e is None else tuple(e) for e in x["ends"]], *x.get("single", (False, False)), *map(route, x.get("routes", (None, None))))) for x in manifest["edges"])
         return version, PropertyGraph(self.spark, nodes, edges, manifest["name"], manifest["number"], manifest["complete"])
 
     def _table(self, entry: dict, make):
@@ -73,18 +75,33 @@ class DiskStore:
             for t in tables:
                 held = self._written.get(id(t))
                 if held is None or held[0] is not t:
-                    entry = {"path": self._write(t, keys)} | ({"labels": None if t.labels is None else list(t.labels)} if kind == "nodes" else {"type": t.type, "ends": [t.src_labels, t.dst_labels]})
+                    told = lambda r: None if r is None else [r.column, r.first, r.span]
+                    more = {"labels": None if t.labels is None else list(t.labels), "route": told(t.route)} if kind == "nodes" else {"type": t.type, "ends": [t.src_labels, t.dst_labels], "single": [t.src_single, t.dst_single], "routes": [told(t.src_route), told(t.dst_route)]}
+                    entry = {"path": self._write(t, keys)} | more
                     self._written[id(t)] = held = (t, entry)
                 entries[kind].append(held[1])
         manifest = {"name": graph.name, "number": graph.number, "complete": graph.complete, **entries}
-        fs, path = self._path(f"manifest-{base + 1}.json")
+        self._publish(f"manifest-{base + 1}.json", json.dumps(manifest).encode())
+        return base + 1
+
+    def _publish(self, name: str, content: bytes) -> None:
+        fs, draft = self._path(f"draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(content))
+        stream.close()
+        path = self._path(name)[1]
+        jvm = self.spark._jvm
         try:
-            stream = fs.create(path, False)
+            if fs.getScheme() == "file":
+                nio = lambda p: jvm.java.nio.file.Paths.get(jvm.java.net.URI("file://" + p.toUri().getPath()))
+                jvm.java.nio.file.Files.createLink(nio(path), nio(draft))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, path, options)
         except Exception as e:
             raise SerializationConflict("another transaction came first") from e
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        return base + 1
+        finally:
+            fs.delete(draft, False)
 
 
 def read_table(spark: SparkSession, path: str, form: str | None = None, schema: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import PropertyGraph
+from .graph import PropertyGraph, Route
 
 ORD = 1_000_000_000_000
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER, USER, EVENT, TURN, DOCUMENT = range(1, 11)
@@ -19,19 +19,20 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nodes and edges of the star schema. All keys refer to rows that exist, which the graph is told."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     g = PropertyGraph(spark, complete=True)
+    at = lambda kind, column: Route(column, kind * ORD, ORD)
     for name, label, kind, key in (("region", "Region", REGION, "r_regionkey"), ("nation", "Nation", NATION, "n_nationkey"), ("customer", "Customer", CUSTOMER, "c_custkey"), ("supplier", "Supplier", SUPPLIER, "s_suppkey"), ("part", "Part", PART, "p_partkey"), ("orders", "Order", ORDER, "o_orderkey")):
-        g = g.with_nodes(t[name], label, id=uid(kind, key))
-    g = g.with_edges(t["nation"].select(uid(NATION, "n_nationkey").alias("src"), uid(REGION, "n_regionkey").alias("dst")), "IN_REGION", between=("Nation", "Region"))
-    g = g.with_edges(t["customer"].select(uid(CUSTOMER, "c_custkey").alias("src"), uid(NATION, "c_nationkey").alias("dst")), "IN_NATION", between=("Customer", "Nation"))
-    g = g.with_edges(t["supplier"].select(uid(SUPPLIER, "s_suppkey").alias("src"), uid(NATION, "s_nationkey").alias("dst")), "IN_NATION", between=("Supplier", "Nation"))
-    g = g.with_edges(t["orders"].select(uid(CUSTOMER, "o_custkey").alias("src"), uid(ORDER, "o_orderkey").alias("dst")), "PLACED", between=("Customer", "Order"))
+        g = g.with_nodes(t[name], label, id=at(kind, key))
+    g = g.with_edges(t["nation"].select("n_nationkey", "n_regionkey"), "IN_REGION", at(NATION, "n_nationkey"), at(REGION, "n_regionkey"), between=("Nation", "Region"), single="src")
+    g = g.with_edges(t["customer"].select("c_custkey", "c_nationkey"), "IN_NATION", at(CUSTOMER, "c_custkey"), at(NATION, "c_nationkey"), between=("Customer", "Nation"), single="src")
+    g = g.with_edges(t["supplier"].select("s_suppkey", "s_nationkey"), "IN_NATION", at(SUPPLIER, "s_suppkey"), at(NATION, "s_nationkey"), between=("Supplier", "Nation"), single="src")
+    g = g.with_edges(t["orders"].select("o_custkey", "o_orderkey"), "PLACED", at(CUSTOMER, "o_custkey"), at(ORDER, "o_orderkey"), between=("Customer", "Order"), single="dst")
     item = t["lineitem"]
     # lines of an order and a part are parallel edges: their place among each other is the rank
     place = F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")) - 1
-    lines = item.select(uid(ORDER, "l_orderkey").alias("src"), uid(PART, "l_partkey").alias("dst"), place.alias("rank"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("shipdate"))
-    g = g.with_edges(lines, "CONTAINS", rank="rank", between=("Order", "Part"))
+    lines = item.select("l_orderkey", "l_partkey", place.alias("rank"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("shipdate"))
+    g = g.with_edges(lines, "CONTAINS", at(ORDER, "l_orderkey"), at(PART, "l_partkey"), rank="rank", between=("Order", "Part"))
     pairs = item.select("l_partkey", "l_suppkey").distinct()
-    return g.with_edges(pairs.select(uid(PART, "l_partkey").alias("src"), uid(SUPPLIER, "l_suppkey").alias("dst")), "SUPPLIED_BY", between=("Part", "Supplier"))
+    return g.with_edges(pairs, "SUPPLIED_BY", at(PART, "l_partkey"), at(SUPPLIER, "l_suppkey"), between=("Part", "Supplier"))
 
 
 def events_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:

@@ -1,10 +1,10 @@
 import pytest
 
 from sparkloom.errors import GqlSyntaxError, NotGql, UnsupportedFeature
-from sparkloom.gql import ast as A
 from sparkloom.gql.features import PARTIAL, REJECTED, SUPPORTED
 from sparkloom.gql.lexer import lex
 from sparkloom.gql.parser import parse, parse_expression
+from sparkloom.gql.tree import Leaf, Op
 
 ACCEPTED = {
     "G010": "MATCH WALK (a) RETURN a", "G014": "MATCH WALK PATHS (a)->(b) RETURN a", "G036": "MATCH (a)-[:T]->{1,3}(b) RETURN b", "G043": "MATCH (a)<-[e]->(b) RETURN e", "G044": "MATCH (a)->(b)<-(c)-(d) RETURN a",
@@ -60,11 +60,12 @@ def test_offsets_of_errors(text, at):
 
 
 def test_precedence_and_tokens():
-    one, two, three = (A.Literal(k, "int") for k in (1, 2, 3))
-    assert parse_expression("1 + 2 * 3") == A.Binary("+", one, A.Binary("*", two, three))
-    assert parse_expression("NOT 1 = 2 AND 3") == A.Binary("AND", A.Unary("NOT", A.Binary("=", one, two)), three)
-    assert parse_expression("1 - 2 - 3") == A.Binary("-", A.Binary("-", one, two), three)
-    assert parse_expression("1 OR 2 XOR 3") == A.Binary("OR", one, A.Binary("XOR", two, three))
-    assert parse_expression("-1 || 2 IS NOT NULL") == A.IsNull(A.Binary("||", A.Unary("-", one), two), True)
+    one, two, three = (Leaf("int", k) for k in (1, 2, 3))
+    assert parse_expression("1 + 2 * 3") == Op("+", (one, Op("*", (two, three))))
+    assert parse_expression("NOT 1 = 2 AND 3") == Op("AND", (Op("NOT", (Op("=", (one, two)),)), three))
+    assert parse_expression("1 - 2 - 3") == Op("-", (Op("-", (one, two)), three))
+    assert parse_expression("1 OR 2 XOR 3") == Op("OR", (one, Op("XOR", (two, three))))
+    assert parse_expression("-1 || 2 IS NOT NULL") == Op("NOT", (Op("is null", (Op("||", (Op("-", (one,)), two)),)),))
+    assert parse_expression("CASE 1 WHEN 2 THEN 3 END") == Op("case", (one, two, three, Leaf("null")))
     assert [t.text for t in lex("a<-1")] == ["a", "<-", "1", ""] and [t.text for t in lex("1 --x\n2 /* y */ 3")] == ["1", "2", "3", ""]
     assert lex("'it''s \\n'")[0].value == "it's \n" and lex("`a``b`")[0].value == "a`b" and lex("0b1_0")[0].value == 2

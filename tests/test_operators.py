@@ -1,9 +1,11 @@
+import math
+import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import catalog
-from sparkloom.errors import DataError, SerializationConflict, Unavailable
+from sparkloom.errors import DataError, GqlSyntaxError, SerializationConflict, Unavailable
 from sparkloom.operators import checks, versions
 from sparkloom.session import Session, query
 from sparkloom.sources.graph import PropertyGraph
@@ -175,3 +177,68 @@ def test_versioned_keys_of_the_whole_table(spark, name):
     if name == "mvcc_latest_whole":
         latest = "select count(*) from (select user_id, arg_max(event_type, event_id) t from events group by 1) where t <> 'error'"
         assert df.count() == con.sql(latest).fetchall()[0][0]
+
+
+def test_many_ranges_and_keys(spark):
+    """The ways for many ranges and keys against plain loops."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+    cuts = sorted({word() for _ in range(30)})
+    held = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], ""], strict=True)) if k % 5]
+    spans = [tuple(sorted((word(), word()))) for _ in range(60)] + [(word(), "") for _ in range(5)] + [("a", "a")]
+    meets = lambda s, e, a, b: (not b or s < b) and (not e or a < e)
+    want = sorted((s, e, k, max(s, a), e if not b else b if not e else min(e, b)) for s, e in spans for k, a, b in held if meets(s, e, a, b))
+    ranges = spark.createDataFrame(held, "range_id long, start_key string, end_key string")
+    asked = spark.createDataFrame(spans, "span_start string, span_end string")
+    for limit in (1000, 0):
+        got = versions.clip(asked, ranges, limit).select("span_start", "span_end", "range_id", "clip_start", "clip_end")
+        found = sorted(tuple(x) for x in got.collect())
+        assert [x for x in found if x[0] != x[1]] == [x for x in want if x[0] != x[1]]
+    written = [(word(), r.randint(1, 30), "v") for _ in range(40)]
+    changed = {k for k, ts, _ in written if 10 < ts <= 20} | {"bb"}
+    table = spark.createDataFrame(written, "key string, commit_ts long, value string")
+    intents = spark.createDataFrame([("bb", "t2"), ("cc", "t1")], "key string, txn_id string")
+    hit = sorted((s, e) for s, e in spans if any(s <= k and (not e or k < e) for k in changed))
+    for limit in (1000, 0):
+        assert sorted(tuple(x) for x in versions.read_conflicts(asked, table, intents, 10, 20, "t1", limit).collect()) == hit
+
+
+def test_percentiles_and_histograms(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["get", "put", None]), r.randint(0, 400)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "op string, latency_ns long").repartition(5)
+    groups = {g: sorted(v for o, v in rows if o == g) for g in ("get", "put", None)}
+    for p in (0.0, 0.5, 0.99, 1.0):
+        up = {g: v[max(math.ceil(p * len(v)), 1) - 1] for g, v in groups.items()}
+        low = {g: v[min(math.floor(p * len(v)), len(v) - 1)] for g, v in groups.items()}
+        assert {x.op: x.value for x in checks.percentile(df, p).collect()} == up and {x.op: x.value for x in checks.percentile(df, p, rule="floor").collect()} == low
+    got = {(x.op, x.le): (x.n, x.total) for x in checks.histogram(df, [100, 250]).collect()}
+    assert got == {(g, b): (sum(b is None or x <= b for x in v), sum(v)) for g, v in groups.items() for b in (100.0, 250.0, None)}
+    with pytest.raises(DataError):
+        checks.histogram(df, [3, 2])
+
+
+def test_manifests_are_whole_and_exclusive(spark, tmp_path):
+    root = f"file://{tmp_path}/g"
+    people = spark.createDataFrame([(1,)], "id long")
+    store = DiskStore(spark, root, PropertyGraph(spark).with_nodes(people, "P"))
+    other = DiskStore(spark, root)
+    (a, g), (b, h) = store.snapshot(), other.snapshot()
+    other.versions = lambda: [0]  # looked before the first one's commit
+    assert store.commit(a, g.replaced()) == 1
+    with pytest.raises(SerializationConflict):
+        other.commit(b, h.replaced())
+    assert DiskStore(spark, root).versions() == [0, 1] and not list((tmp_path / "g").glob("draft-*"))
+
+
+def test_depth_of_values(spark):
+    from sparkloom.session import Session
+
+    g = PropertyGraph(spark).with_nodes(spark.createDataFrame([(1,)], "id long"), "P")
+    deep = lambda n: [deep(n - 1)] if n else 1
+    for statement in ("MATCH (n) SET n.x = $v", "INSERT (:P {x: $v})", "MATCH (n) SET n = {x: $v}"):
+        with pytest.raises(DataError):
+            Session(g).execute(statement, {"v": deep(129)})
+    assert Session(g).execute("MATCH (n) SET n.x = $v", {"v": deep(12)}).mutations == 1
+    with pytest.raises(GqlSyntaxError):
+        Session(g).execute("RETURN " + "[" * 4000)
