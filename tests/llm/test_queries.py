@@ -54,3 +54,18 @@ def test_stages_against_plain_python(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() <= 200 and "ids" in out.columns
+
+
+def test_stages_on_odd_and_empty_rows(spark, odd, none, tmp_path):
+    """Null and empty texts, repeated rows and columns with the operators' own names through each stage and on to the last one."""
+    bench = spark.createDataFrame([(1, "too short"), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (odd, none):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            alone = stage(spark, rows, str(tmp_path))
+            docs = stash(stage(spark, docs, str(tmp_path)))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert alone.columns == rows.columns == docs.columns
+            assert alone.count() <= rows.count() and (rows is odd or docs.count() == 0)
+    assert docs.columns == ["doc_id", "n_pieces", "scores", "ids", "ids_crc32", "text_crc32"]
