@@ -6,16 +6,20 @@ separated words in turn. A task keeps the ids of words that it has met (up to CA
 
 from __future__ import annotations
 
-import numpy as np
+import struct
 
 from .common import caches
 
-#: What the words and stems that a task keeps may take, by about WORD_BYTES for each and its letters. Beyond, the memory starts anew:
-#: results do not change.
-CACHE_BYTES, WORD_BYTES = 64 << 20, 200
+#: What the words and stems that a task keeps may take, by about WORD_BYTES for each and its letters. A text that begins beyond it
+#: lets the memory start anew: results do not change.
+CACHE_BYTES, WORD_BYTES = 96 << 20, 200
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 def _forget() -> None:
     for e in _encoders.values():
         e.forget()
@@ -30,6 +34,18 @@ def encoder(path: str) -> "WordEncoder":
     return _encoders[path]
 
 
+class _Ids(dict):
+    """Ids by word; make gives those of a word that is new."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     def __init__(self, path: str):
         import os
@@ -42,8 +58,7 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids are kept in two bytes")
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.words, self.stems = _Ids(self._word), _Ids(self._stem)
         self.held = 0
         #: Letters of Latin-1 and then ASCII punctuation without an apostrophe: such a word is at most two pre-tokens.
         self.plain = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -58,41 +73,25 @@ class WordEncoder:
         self.held = 0
 
     def _stem(self, stem: str) -> bytes:
-        ids = self.stems.get(stem)
-        if ids is None:
-            written = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u2").tobytes()
-            self.held += WORD_BYTES + 4 * len(stem)
-            self.stems[stem] = ids
-        return ids
+        self.held += WORD_BYTES + 2 * len(stem)
+        written = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
+        return _bytes([t.id for t in self.tokenizer.model.tokenize(written)])
 
     def _word(self, word: str) -> bytes:
+        self.held += WORD_BYTES + 2 * len(word)
         m = self.plain(word)
         if m and "<|" not in word:
             letters, rest = m.groups()
-            return (self._stem(letters.lower()) if letters else b"") + (self._stem(rest) if rest else b"")
+            return (self.stems[letters.lower()] if letters else b"") + (self.stems[rest] if rest else b"")
         return self._ids(word)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, two bytes each, the lower first."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
             return self._ids(text)
-        known = self.words
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if self.held > CACHE_BYTES:
-                    self.forget()
-                ids = known[w] = self._word(w)
-                self.held += WORD_BYTES + 4 * len(w)
-            out.append(ids)
-        return b"".join(out)
+        if self.held > CACHE_BYTES:
+            self.forget()
+        return b"".join(map(self.words.__getitem__, text.split()))

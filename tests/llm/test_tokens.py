@@ -93,8 +93,9 @@ def test_word_cache_starts_anew(tokenizer, monkeypatch):
 
     monkeypatch.setattr(wordpiece, "CACHE_BYTES", 2_000)
     e = wordpiece.WordEncoder(PATH)
-    text = " ".join(f"word{k} other{k}," for k in range(200))
-    assert np.frombuffer(e.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids and e.held < 4_000
+    for k in range(200):
+        text = f"word{k} other{k}, Third{k}"
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids and e.held < 5_000
 
 
 def test_lengths(odd, odd_rows, none, tokenizer):
