@@ -44,7 +44,7 @@ def walks(low, high, start=None):
     return sorted(out)
 
 
-@pytest.mark.parametrize("low,high", [(1, 1), (1, 2), (0, 1), (2, 2), (0, 0), (0, 3), (3, 6), (1, 7)])
+@pytest.mark.parametrize("low,high", [(1, 2), (0, 1), (0, 0), (2, 2), (2, 5)])
 def test_walks(rail, low, high):
     hops = f"{{{low},{high}}}" if low != high else f"{{{low}}}"
     assert sorted(rows(rail, f"MATCH (a)-[:LINE]->{hops}(b) RETURN a.name, b.name")) == walks(low, high)
