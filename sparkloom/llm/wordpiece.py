@@ -10,9 +10,9 @@ import struct
 
 from .common import caches
 
-#: What the words and stems that a task keeps may take, by about WORD_BYTES for each and its letters. A text that begins beyond it
+#: What the words that a task keeps may take, by about WORD_BYTES for each and its letters. A text that begins beyond it
 #: lets the memory start anew: results do not change.
-CACHE_BYTES, WORD_BYTES = 96 << 20, 200
+CACHE_BYTES, WORD_BYTES = 128 << 20, 200
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -58,7 +58,7 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids are kept in two bytes")
-        self.words, self.stems = _Ids(self._word), _Ids(self._stem)
+        self.model, self.words = self.tokenizer.model, _Ids(self._word)
         self.held = 0
         #: Letters of Latin-1 and then ASCII punctuation without an apostrophe: such a word is at most two pre-tokens.
         self.plain = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -69,21 +69,26 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.words.clear()
-        self.stems.clear()
         self.held = 0
 
     def _stem(self, stem: str) -> bytes:
-        self.held += WORD_BYTES + 2 * len(stem)
         written = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-        return _bytes([t.id for t in self.tokenizer.model.tokenize(written)])
+        return _bytes([t.id for t in self.model.tokenize(written)])
 
     def _word(self, word: str) -> bytes:
+        """Of a word that is new: lower-case letters, or punctuation, are one pre-token; others are put together of those."""
         self.held += WORD_BYTES + 2 * len(word)
-        m = self.plain(word)
-        if m and "<|" not in word:
-            letters, rest = m.groups()
-            return (self.stems[letters.lower()] if letters else b"") + (self.stems[rest] if rest else b"")
-        return self._ids(word)
+        if word.isalpha() and word.isascii():
+            letters, rest = word.lower(), ""
+        else:
+            m = self.plain(word)
+            if not m or "<|" in word:
+                return self._ids(word)
+            letters, rest = m[1].lower(), m[2]
+        if letters and rest:
+            return self.words[letters] + self.words[rest]
+        stem = letters or rest
+        return self._stem(stem) if stem == word else self.words[stem]
 
     def _ids(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
