@@ -49,6 +49,12 @@ def scan_end(page: DataFrame, limit: int) -> DataFrame:
     return page.agg(last.alias("read_end"))
 
 
+def footprint(page: DataFrame, start, end, limit: int) -> DataFrame:
+    """The span that a limited scan has read, for validate: to just behind its last key if it was cut, else all of it."""
+    cut = F.col("read_end").cast(page.schema["key"].dataType)
+    return scan_end(page, limit).select(F.lit(start).alias("span_start"), F.coalesce(cut, F.lit(end)).alias("span_end"))
+
+
 #: Lists of ranges or keys up to this length go to every task.
 BROADCAST_RANGES = 1_000
 

@@ -58,6 +58,12 @@ def test_conflicts(spark, history):
     with pytest.raises(SerializationConflict):
         versions.validate(spans, history, none, 4, 5, "t")
     versions.validate(spans, history, none, 5, 9, "t")
+    # k2 changes at 5: a scan cut behind k1 has not read it, one that goes on has
+    read = lambda n: versions.footprint(versions.scan(history, "k", "l", 4, limit=n), "k", "l", n)
+    assert pairs(read(1)) == [("k", "k1\x00")] and pairs(read(9)) == [("k", "l")]
+    versions.validate(read(1), history, none, 4, 5, "t")
+    with pytest.raises(SerializationConflict):
+        versions.validate(read(2), history, none, 4, 5, "t")
     later = versions.apply(history, writes, 10)
     assert pairs(versions.get(later, "h1", 10)) == [("h1", "w")] and pairs(versions.get(later, "h1", 9)) == [("h1", "h1")]
 
