@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding: the N best segmentations of a text over the lattice of a public model's pieces.
 
 A segmentation's score is the sum of its pieces' scores. Pieces never reach across a space that follows another letter, nor a
-line feed, so the lattice falls into chunks. Viterbi passes over all new chunks of one length at once give each chunk's best segmentation
-and what the second best loses. The n best segmentations of a text differ from its best in at most n - 1 chunks, those that lose
+line feed, so the lattice falls into chunks; a chunk falls into parts between letters that no piece joins, as those of a word and a
+comma. Viterbi passes over all new parts of one length at once give each part's best segmentation and what the second best loses, a
+chunk's are put together of its parts'. The n best segmentations of a text differ from its best in at most n - 1 chunks, those that lose
 least; there forward Viterbi scores are the exact heuristic of a backward A-star search, which pops complete segmentations in
 the order of their scores, and the chunks' losses are merged. A task keeps the chunks it has met. Pieces are looked up by 64-bit hashes.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import caches, load, texts, tidy
 
-#: Chunks that a task keeps, of at most LONG letters; beyond, the memory starts anew: results do not change.
-CACHE_CHUNKS, CACHE_SEARCHES, LONG = 250_000, 20_000, 48
+#: Chunks and parts that a task keeps; beyond, the memory starts anew: results do not change. Parts of more than LONG letters
+#: are searched one by one; a Viterbi pass takes parts of PASS letters together.
+CACHE_CHUNKS, CACHE_SEARCHES, LONG, PASS = 500_000, 20_000, 48, 24_000
 UNKNOWN_COST = 10.0
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_ROLL, _BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 _models: dict[str, "PieceModel"] = {}
 _chunks = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
 # a worker that waits for other tasks holds no chunks
@@ -68,6 +71,10 @@ class PieceModel:
 
     def _setup(self, pieces, bytes_of):
         self.bytes_of = bytes_of
+        #: what is written, in one, and where each piece's part of it begins
+        self.letters = np.frombuffer(b"".join(self.written), np.uint8)
+        self.sizes = np.array([len(w) for w in self.written], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.worst = min((s for s, _ in pieces.values() if s > -1e8), default=0.0)
         self.entries: dict[str, tuple[float, int] | None] = {}
         for piece in pieces:
@@ -75,14 +82,17 @@ class PieceModel:
                 self.entries.setdefault(piece[:k], None)
         self.entries.update(pieces)
         self.longest = max(map(len, pieces))
-        #: by length: hashes of the pieces in order, their ids and their scores
+        self.parts = _cutter(pieces)
+        #: by length: hashes of the pieces in order, their ids and their scores; and whether a hash begins with some bits
         self.by_length = {}
+        self.begin = np.zeros((self.longest + 1, 1 << 16), bool)
         for length in range(1, self.longest + 1):
             own = sorted((_rolled(p), i, s) for p, (s, i) in pieces.items() if len(p) == length) or [(0, 0, -np.inf)]
             keys, ids, scores = zip(*own, strict=True)
             if len(set(keys)) < len(keys):
                 raise ValueError("pieces with equal hashes")
             self.by_length[length] = np.array(keys, np.uint64), np.array(ids, np.uint16), np.array(scores)
+            self.begin[length, self.by_length[length][0] >> _BEGIN] = True
         self.known: dict[str, tuple[float, bytes, float]] = {}
         self.searched: dict[tuple[int, str], list] = {}
 
@@ -94,9 +104,9 @@ class PieceModel:
         self._setup({p: (float(s), 256 + k) for k, (p, s) in enumerate(pieces.items())}, {b: b for b in range(256)})
         return self
 
-    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score, ids) of the chunk's n best segmentations, the best first: that of the forward pass, where among equal
-        scores the shortest last piece wins, as in _viterbi(). Others of equal score are met in the order of the search."""
+    def nbest(self, chunk: str, n: int, first: tuple[float, tuple[int, ...]] | None = None) -> list[tuple[float, tuple[int, ...]]]:
+        """(score, ids) of the chunk's n best segmentations, the best first: the one told, or that of the forward pass, where among
+        equal scores the shortest last piece wins, as in _viterbi(). Others of equal score are met in the order of the search."""
         size = len(chunk)
         forward = [-1e300] * (size + 1)
         forward[0] = 0.0
@@ -122,11 +132,12 @@ class PieceModel:
                 arcs[i + 1].append(arc)
                 if here + cost >= forward[i + 1]:
                     forward[i + 1], came[i + 1] = here + cost, arc
-        best, at = [], size
-        while at:
-            best.append(came[at][2])
-            at = came[at][0]
-        first = (forward[size], tuple(x for ids in reversed(best) for x in ids))
+        if first is None:
+            best, at = [], size
+            while at:
+                best.append(came[at][2])
+                at = came[at][0]
+            first = (forward[size], tuple(x for ids in reversed(best) for x in ids))
         return [first, *self._search(size, arcs, forward, n, first)][:n] if n > 1 else [first]
 
     @staticmethod
@@ -157,11 +168,13 @@ class PieceModel:
 
     def _learn(self, chunks: set[str]) -> None:
         """Finds (best score, its ids as bytes, what the second best segmentation loses) of chunks."""
+        known = self.known
+        cut = {c: p for c, p in zip(chunks, map(self.parts, chunks), strict=True) if len(p) > 1}
         by_size: dict[int, list[str]] = {}
-        for c in chunks:
+        for c in chunks.difference(cut).union(*cut.values()).difference(known):
             by_size.setdefault(len(c), []).append(c)
         for size, same in by_size.items():
-            step = max(1, 200_000 // size)
+            step = max(1, PASS // size)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
                 if size > LONG:
@@ -170,70 +183,74 @@ class PieceModel:
                     left = self._viterbi(part, size)
                 for c in left:
                     best, *others = self.nbest(c, 2)
-                    self.known[c] = best[0], np.array(best[1], "<u2").tobytes(), best[0] - others[0][0] if others else np.inf
+                    known[c] = best[0], np.array(best[1], "<u2").tobytes(), best[0] - others[0][0] if others else np.inf
+        for c, parts in cut.items():
+            scores, ids, losses = zip(*[known[p] for p in parts], strict=True)
+            known[c] = sum(scores), b"".join(ids), min(losses)
 
     def _viterbi(self, chunks: list[str], size: int) -> list[str]:
         """Forward and backward Viterbi scores of chunks of one length, all at once. The second best segmentation has an arc
         that the best has not: its score is the best of those of the best ways through such arcs. Chunks with a letter
-        that has no piece are returned."""
-        letters = np.array(chunks, f"U{size}").view(np.uint32).reshape(-1, size).astype(np.uint64)
-        m = len(chunks)
-        cost, place = {}, {}
-        rolled = np.zeros((m, size + 1), np.uint64)
-        for length in range(1, min(size, self.longest) + 1):
-            rolled = rolled[:, : size - length + 1] * _ROLL + letters[:, length - 1 :]
+        that has no piece are returned. Arrays are by place, then by chunk."""
+        m, longest = len(chunks), min(size, self.longest)
+        letters = np.array(chunks, f"U{size}").view(np.uint32).reshape(-1, size).T.astype(np.uint64, order="C")
+        cost, place = np.full((longest + 1, size, m), -np.inf), np.zeros((longest + 1, size, m), np.uint16)
+        rolled = np.zeros((size + 1, m), np.uint64)
+        for length in range(1, longest + 1):
+            rolled = rolled[: size - length + 1] * _ROLL + letters[length - 1 :]
             keys, index, score = self.by_length[length]
-            near = np.minimum(np.searchsorted(keys, rolled), len(keys) - 1)
-            hit = keys[near] == rolled
-            cost[length] = np.where(hit, score[near], -np.inf)
-            place[length] = index[near]
-        whole = np.isfinite(cost[1]).all(1)
-        forward = np.full((m, size + 1), -np.inf)
-        came = np.zeros((m, size + 1), np.int64)
-        forward[:, 0] = 0.0
+            hashes = rolled.ravel()
+            spots = np.flatnonzero(self.begin[length][hashes >> _BEGIN])
+            hashes = hashes[spots]
+            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[near] == hashes
+            spots, near = spots[hit], near[hit]
+            cost[length].reshape(-1)[spots], place[length].reshape(-1)[spots] = score[near], index[near]
+        whole = np.isfinite(cost[1]).all(0)
+        forward = np.full((size + 1, m), -np.inf)
+        came = np.zeros((size + 1, m), np.uint8)
+        forward[0] = 0.0
         for j in range(1, size + 1):
-            for length in range(1, min(j, self.longest) + 1):
-                way = forward[:, j - length] + cost[length][:, j - length]
-                better = way > forward[:, j]
-                forward[better, j] = way[better]
-                came[better, j] = length
-        backward = np.full((m, size + 1), -np.inf)
-        backward[:, size] = 0.0
+            for length in range(1, min(j, longest) + 1):
+                way = forward[j - length] + cost[length, j - length]
+                better = way > forward[j]
+                np.copyto(forward[j], way, where=better)
+                np.copyto(came[j], np.uint8(length), where=better)
+        backward = np.full((size + 1, m), -np.inf)
+        backward[size] = 0.0
         for i in range(size - 1, -1, -1):
-            for length in range(1, min(size - i, self.longest) + 1):
-                np.maximum(backward[:, i], cost[length][:, i] + backward[:, i + length], out=backward[:, i])
-        at = np.full(m, size)
-        rows = np.arange(m)
-        used, taken, n_ids = {k: np.zeros(v.shape, bool) for k, v in cost.items()}, np.zeros((m, size), np.uint16), np.zeros(m, np.int64)
-        while (at > 0).any():
-            live = rows[at > 0]
-            step = came[live, at[live]]
-            step = np.where(step == 0, 1, step)  # of rows that are not whole
-            begin = at[live] - step
-            for length in np.unique(step).tolist():
-                own = step == length
-                used[length][live[own], begin[own]] = True
-                taken[live[own], n_ids[live[own]]] = place[length][live[own], begin[own]]
+            for length in range(1, min(size - i, longest) + 1):
+                np.maximum(backward[i], cost[length, i] + backward[i + length], out=backward[i])
+        for length in range(1, longest + 1):
+            through = cost[length, : size - length + 1]
+            through += forward[: size - length + 1]
+            through += backward[length:]
+        at, live = np.full(m, size), np.arange(m)
+        taken, n_ids = np.zeros((m, size), np.uint16), np.zeros(m, np.int64)
+        while len(live):
+            step = np.maximum(came[at[live], live], 1)  # 0: of rows that are not whole
+            at[live] -= step
+            cost[step, at[live], live] = -np.inf
             n_ids[live] += 1
-            at[live] = begin
-        second = np.full(m, -np.inf)
-        for length, c in cost.items():
-            through = np.where(used[length], -np.inf, forward[:, : size - length + 1] + c + backward[:, length:])
-            np.maximum(second, through.max(1), out=second)
-        best = forward[:, size]
+            taken[live, size - n_ids[live]] = place[step, at[live], live]
+            live = live[at[live] > 0]
+        second = cost.max((0, 1))
+        best = forward[size]
         with np.errstate(invalid="ignore"):  # rows that are not whole
             loss = best - second
-        known = self.known
-        for k in np.flatnonzero(whole).tolist():
-            known[chunks[k]] = float(best[k]), taken[k, : n_ids[k]][::-1].astype("<u2").tobytes(), float(loss[k])
+        known, raw, wide = self.known, taken.astype("<u2").tobytes(), 2 * size
+        found = zip(chunks, best.tolist(), n_ids.tolist(), loss.tolist(), whole.tolist(), range(wide, wide * m + 1, wide), strict=True)
+        for c, score, n, lost, fits, end in found:
+            if fits:
+                known[c] = score, raw[end - 2 * n : end], lost
         return [chunks[k] for k in np.flatnonzero(~whole).tolist()]
 
     def others(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(loss, ids) of the n - 1 segmentations after the best one, by A-star search."""
         found = self.searched.get((n, chunk))
         if found is None:
-            best = self.known[chunk][0]
-            found = [(best - score, way) for score, way in self.nbest(chunk, n)[1:]]
+            best, ids, _ = self.known[chunk]
+            found = [(best - score, way) for score, way in self.nbest(chunk, n, (best, tuple(np.frombuffer(ids, "<u2").tolist())))[1:]]
             if len(self.searched) >= CACHE_SEARCHES:
                 self.searched.clear()
             if len(chunk) <= LONG:
@@ -248,7 +265,7 @@ class PieceModel:
         the best ids, how many of them go, ids that come), in order)."""
         for group in _portions(texts):
             chunks = [_chunks(" " + t) for t in group]
-            missing = set().union(*chunks) - self.known.keys()
+            missing = set(filterfalse(self.known.__contains__, chain.from_iterable(chunks)))
             if missing:
                 if len(self.known) + len(missing) > CACHE_CHUNKS:
                     self.known.clear()
@@ -256,7 +273,7 @@ class PieceModel:
                 self._learn(missing)
             known = self.known
             for cs in chunks:
-                scores, parts, losses = zip(*[known[c] for c in cs], strict=True)
+                scores, parts, losses = zip(*map(known.__getitem__, cs), strict=True)
                 total = sum(scores)
                 ways: list[tuple[float, tuple]] = [(0.0, ())]
                 # of n segmentations at most n - 1 chunks differ from the best, those that lose least
@@ -285,8 +302,33 @@ class PieceModel:
         return all(b"".join(written[i] for i in best[first : first + gone].tolist()) == b"".join(written[i] for i in come) for first, gone, come in swaps)
 
     def decode(self, ids: bytes) -> str:
-        written = self.written
-        return b"".join([written[i] for i in np.frombuffer(ids, "<u2").tolist()]).decode("utf-8", "replace")[1:]
+        best = np.frombuffer(ids, "<u2")
+        sizes = self.sizes[best]
+        ends = np.cumsum(sizes)
+        # a piece's bytes are in a row
+        return self.letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[best] - ends + sizes, sizes)].tobytes().decode("utf-8", "replace")[1:]
+
+
+def _cutter(pieces):
+    """What cuts a chunk into parts that no piece reaches across. Letters that stand beside one another in a piece are of one
+    kind, so are those of a kind with either; a part is a run of one kind, with the spaces in front of it."""
+    kind: dict[str, str] = {}
+
+    def of(letter: str) -> str:
+        while (up := kind.setdefault(letter, letter)) != letter:
+            kind[letter] = kind[up]
+            letter = up
+        return letter
+
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:], strict=False):
+            if " " not in (a, b):
+                kind[of(a)] = of(b)
+    kinds: dict[str, str] = {}
+    for letter in sorted(kind):
+        kinds[of(letter)] = kinds.get(of(letter), "") + letter
+    runs = [f"[{re.escape(letters)}]+" for letters in sorted(kinds.values(), key=len, reverse=True)]
+    return re.compile(f" *(?:{'|'.join([*runs, '[^ ]'])})| +", re.DOTALL).findall
 
 
 def _rolled(piece: str) -> int:
@@ -296,7 +338,7 @@ def _rolled(piece: str) -> int:
     return h
 
 
-def _portions(texts: list[str], letters: int = 1_000_000):
+def _portions(texts: list[str], letters: int = 2_000_000):
     """Texts in groups of about so many letters."""
     group, size = [], 0
     for t in texts:

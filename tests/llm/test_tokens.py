@@ -169,6 +169,27 @@ def test_best_way_is_that_of_both_searches():
         assert ways[0] == (score, tuple(np.frombuffer(ids, "<u2").tolist())) and loss == (ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf)
 
 
+def test_chunks_are_put_together_of_parts(monkeypatch):
+    """A word is learned once, whatever signs follow it, and the ways are those of a search over whole chunks."""
+    r = random.Random(9)
+    model = nbest_pieces.PieceModel.of({"a": -2, "b": -3, "ab": -4, "ba": -4.5, " ": -1, " a": -2.5, ",": -3, "-": -2, ",-": -5.5, " ,": -3.5, "1": -2, "é": -4, "éa": -5})
+    learned, viterbi = [], nbest_pieces.PieceModel._viterbi
+    monkeypatch.setattr(nbest_pieces.PieceModel, "_viterbi", lambda self, chunks, size: learned.extend(chunks) or viterbi(self, chunks, size))
+    for text in ["ab,-1", "1,,-é", " ,ab  -"] + ["".join(r.choice("abé,-1 \nx漢") for _ in range(r.randint(0, 8))) for _ in range(150)]:
+        all_ways = every(model, " " + text)
+        for n in (1, 3):
+            best, ways = model.encode(text, n)
+            score = {i: s for s, i in all_ways}
+            found = [tuple(model.swapped(best, w).tolist()) for _, w in ways]
+            assert model.decode(best) == text and len(set(found)) == len(found) == min(n, len(all_ways))
+            assert [round(s, 6) for s, _ in ways] == [round(s, 6) for s, _ in all_ways[:n]] == [round(score[f], 6) for f in found]
+    assert len(set(learned)) == len(learned) and not any("a" in c and ("," in c or "1" in c) for c in learned)
+    learned.clear()
+    words = ["".join(r.choice("abé") for _ in range(9)) for _ in range(300)]
+    model.encode(" ".join(w + r.choice(["", ",", ",-", "-,", "1", "-11"]) for w in words * 4), 3)
+    assert len(learned) <= len(set(words)) + 4
+
+
 def test_round_trip_in_one_pass(odd, odd_rows, none):
     path = nbest_pieces.default_model()
     m = nbest_pieces.model(path)
