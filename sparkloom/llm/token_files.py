@@ -32,41 +32,37 @@ BLOCK_IDS = 1 << 18
 _sizes = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 #: By control byte: the bytes of the four ranks together.
 _total = _sizes.sum(1).astype(np.int64)
-#: By control byte and rank: where in the group's 16 bytes each of the rank's four bytes is; 16 is a zero.
-_gather = np.full((256, 4, 4), 16, np.uint8)
-for _c in range(256):
-    _at = 0
-    for _k in range(4):
-        for _b in range(_sizes[_c, _k]):
-            _gather[_c, _k, _b] = _at
-            _at += 1
-_gather = _gather.reshape(256, 16)
+#: By control byte and rank: where in the group's bytes the rank begins, and which bits of the four bytes from there are its.
+_begins = (np.cumsum(_sizes, 1) - _sizes).astype(np.int64)
+_bits = ((1 << 8 * _sizes.astype(np.int64)) - 1).astype(np.uint32)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data of unsigned 32-bit numbers."""
     n = len(ranks)
-    padded = np.zeros(-(-n // 4) * 4, np.uint32)
+    width = 2 if not n or ranks.max() < 1 << 16 else 4
+    padded = np.zeros(-(-n // 4) * 4, f"<u{width}")
     padded[:n] = ranks
-    size = np.ones(len(padded), np.uint8)
-    for bits in (8, 16, 24):
-        size += (padded >> np.uint32(bits) > 0).astype(np.uint8)
-    code = (size - 1).reshape(-1, 4)
-    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8)
-    each = padded.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = each[np.arange(4, dtype=np.uint8) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    longer = [padded >= 1 << 8 * k for k in range(1, width)]
+    code = sum(x.view(np.uint8) for x in longer).reshape(-1, 4)
+    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
+    kept = np.ones((len(padded), width), bool)
+    for k, x in enumerate(longer, 1):
+        kept[:, k] = x
+    return control.tobytes(), padded.view(np.uint8)[kept.ravel()].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The first n numbers, by a table lookup for each control byte."""
+    """The first n numbers, by table lookups for each control byte."""
     codes = np.frombuffer(control, np.uint8)
-    ends = np.cumsum(_total[codes])
-    starts = ends - _total[codes]
-    stream = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(17, np.uint8)])
-    windows = np.lib.stride_tricks.sliding_window_view(stream, 17)[starts].copy() if len(codes) else np.zeros((0, 17), np.uint8)
-    windows[:, 16] = 0
-    return np.take_along_axis(windows, _gather[codes].astype(np.intp), 1).view("<u4").reshape(-1)[:n]
+    total = _total[codes]
+    begins = _begins[codes]
+    begins += (np.cumsum(total) - total)[:, None]
+    # the four bytes from each place on
+    four = np.ndarray(len(data), "<u4", data + bytes(3), strides=(1,))
+    out = four[begins.ravel()]
+    out &= _bits[codes].ravel()
+    return out[:n]
 
 
 def _encode(path: str, end_id: int):

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -35,6 +36,25 @@ def test_pack():
         assert len(control) == -(-n // 4) and (token_files.unpack(control, data, n) == x).all()
 
 
+def test_packing_takes_little_memory():
+    """Numbers of one and two bytes, as ranks are, take few bytes of arrays each, on both ways; those of more are packed as well."""
+    r = np.random.default_rng(2)
+    n = 1 << 18
+    for width, limits in ((2, (14, 22)), (4, (24, 24))):
+        x = (r.integers(0, 1 << 8 * width, n, np.uint64) >> r.integers(0, 8 * width, n, np.uint64)).astype(np.uint32)
+        x[:6] = [0, 255, 256, 65535, 65536 % (1 << 8 * width), (1 << 8 * width) - 1]
+        peaks, results = [], []
+        for run in (lambda x=x: token_files.pack(x), lambda: token_files.unpack(*results[0], n)):
+            tracemalloc.start()
+            results.append(run())
+            peaks.append(tracemalloc.get_traced_memory()[1] / n)
+            tracemalloc.stop()
+        assert (results[1] == x).all()
+        sizes = 1 + (x > 0xFF).astype(int) + (x > 0xFFFF) + (x > 0xFFFFFF)
+        assert results[0] == (bytes(((sizes - 1).reshape(-1, 4) << [0, 2, 4, 6]).sum(1).tolist()), b"".join(v.to_bytes(k, "little") for v, k in zip(x.tolist(), sizes.tolist(), strict=True)))
+        assert peaks[0] < limits[0] and peaks[1] < limits[1], peaks
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     coded = [(-(1 << 63) if r[0] is None else r[0], np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u2").tobytes(), r[0]) for r in rows]
