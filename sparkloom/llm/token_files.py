@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import filesystem, load, scratch, stash, texts, tidy, unstash
 from .wordpiece import encoder
 
-#: Ids of a block, after which it is closed.
+#: Ids of a block, after which it is closed; ids that are counted at a time, rounded up to a text's.
 BLOCK_IDS = 1 << 18
 
 _sizes = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -65,22 +65,46 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
+ENCODED = "doc_id long, ids binary, counts binary"
+
+
 def _encode(path: str, end_id: int):
+    """A row for each document and, after them, one for the task: how often each id occurs, 65,536 numbers of eight bytes."""
     end = np.array([end_id], "<u2").tobytes()
+    types = (pa.int64(), pa.binary(), pa.binary())
+    names = [x.split()[0] for x in ENCODED.split(", ")]
 
     def encode(batches):
         coder = encoder(path)
+        total = np.zeros(1 << 16, "<i8")
+        waiting, held = [], 0
+
+        def count():
+            total[:] += np.bincount(np.frombuffer(b"".join(waiting), "<u2"), minlength=1 << 16)
+
         for batch in batches:
-            ids = [coder.encode(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = []
+            for t in batch.column("text").to_pylist():
+                x = coder.encode(t) + end
+                ids.append(x)
+                waiting.append(x)
+                held += len(x) // 2
+                if held >= BLOCK_IDS:
+                    count()
+                    waiting, held = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, types[1]), pa.nulls(len(ids), types[2])], names)
+        count()
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, total.tobytes()), types, strict=True)], names)
 
     return encode
 
 
-def _count_ids(batches):
+def _sum_counts(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=1 << 16)
+        for x in batch.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<i8")
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["id", "n"])
 
@@ -160,15 +184,16 @@ class TokenFiles:
         """Encodes documents and writes them to a new folder (none told: one of the shared folder, for as long as the application runs)."""
         spark = docs.sparkSession
         out = cls(spark, path or _temporary(spark))
-        encoded = stash(texts(docs).mapInArrow(tidy(_encode(tokenizer_path, end_id)), "doc_id long, ids binary"), "ids")
-        counts = encoded.select("ids").mapInArrow(tidy(_count_ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        ordered = sorted((-r.n, r.id) for r in counts.collect())  # at most 65,536 rows
+        encoded = stash(texts(docs).mapInArrow(tidy(_encode(tokenizer_path, end_id)), ENCODED), "ids")
+        counts = encoded.where("counts is not null").select("counts").mapInArrow(tidy(_sum_counts), "id int, n long")
+        ordered = sorted((-r.n, r.id) for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect())  # at most 65,536 rows
         ranks = spark.createDataFrame([(i, k, -n) for k, (n, i) in enumerate(ordered)], "id int, rank int, n long")
         ranks.coalesce(1).write.parquet(f"{out.path}/ranks")
         rank = np.zeros(1 << 16, np.uint32)
         rank[[i for _, i in ordered]] = np.arange(len(ordered))
         shared = spark.sparkContext.broadcast(rank)
-        spread = encoded.repartitionByRange(partitions, "doc_id") if partitions else encoded.repartitionByRange("doc_id")
+        coded = encoded.where("counts is null").select("doc_id", "ids")
+        spread = coded.repartitionByRange(partitions, "doc_id") if partitions else coded.repartitionByRange("doc_id")
         # rows that share a doc_id fall in one part
         spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(tidy(_blocks(shared)), BLOCK).write.option("compression", "zstd").parquet(f"{out.path}/blocks")
         # a row for each part: their number is set by the partitioning

@@ -6,18 +6,25 @@ separated words in turn. A task keeps the ids of words that it has met (up to CA
 
 from __future__ import annotations
 
-import struct
+import sys
+from array import array
 
 from .common import caches
 
 #: What the words that a task keeps may take, by about WORD_BYTES for each and its letters. A text that begins beyond it
 #: lets the memory start anew: results do not change.
 CACHE_BYTES, WORD_BYTES = 128 << 20, 200
+#: ASCII punctuation without an apostrophe.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+BIG_ENDIAN = sys.byteorder == "big"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+    two = array("H", ids)
+    if BIG_ENDIAN:
+        two.byteswap()
+    return two.tobytes()
 
 
 def _forget() -> None:
@@ -59,8 +66,11 @@ class WordEncoder:
         if self.size > 1 << 16:
             raise ValueError("ids are kept in two bytes")
         self.model, self.words = self.tokenizer.model, _Ids(self._word)
+        # a stem is asked for once: the library's own memory of words would only take time
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
         self.held = 0
-        #: Letters of Latin-1 and then ASCII punctuation without an apostrophe: such a word is at most two pre-tokens.
+        #: Letters of Latin-1 and then PUNCTUATION: such a word is at most two pre-tokens.
         self.plain = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
         # bytes as the library writes them: printable ones as themselves, others from U+0100 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,24 +81,32 @@ class WordEncoder:
         self.words.clear()
         self.held = 0
 
-    def _stem(self, stem: str) -> bytes:
-        written = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-        return _bytes([t.id for t in self.model.tokenize(written)])
-
     def _word(self, word: str) -> bytes:
         """Of a word that is new: lower-case letters, or punctuation, are one pre-token; others are put together of those."""
         self.held += WORD_BYTES + 2 * len(word)
-        if word.isalpha() and word.isascii():
-            letters, rest = word.lower(), ""
+        if word.isascii():
+            if word.isalpha():
+                stem = word.lower()
+            else:
+                letters = word.rstrip(PUNCTUATION)
+                if letters and not letters.isalpha() or "<|" in word:
+                    return self._ids(word)
+                if letters:
+                    return self.words[letters.lower()] + self.words[word[len(letters) :]]
+                stem = word
+            if stem != word:
+                return self.words[stem]
         else:
             m = self.plain(word)
             if not m or "<|" in word:
                 return self._ids(word)
-            letters, rest = m[1].lower(), m[2]
-        if letters and rest:
-            return self.words[letters] + self.words[rest]
-        stem = letters or rest
-        return self._stem(stem) if stem == word else self.words[stem]
+            if m[2]:
+                return self.words[m[1].lower()] + self.words[m[2]]
+            stem = word.lower()
+            if stem != word:
+                return self.words[stem]
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return _bytes([t.id for t in self.model.tokenize(word)])
 
     def _ids(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -55,6 +55,31 @@ def test_packing_takes_little_memory():
         assert peaks[0] < limits[0] and peaks[1] < limits[1], peaks
 
 
+def test_ids_are_counted_while_they_are_encoded(tokenizer, monkeypatch):
+    """A task gives how often each id occurs beside the ids, so that nothing is read again to count them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
+    texts = ["", "one two, Two", "x" * 300, "a b c d e f g " * 30]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k]), pa.array([t, "last"])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    rows = [r for b in token_files._encode(PATH, 1)(batches) for r in b.to_pylist()]
+    told = [r for r in rows if r["counts"] is not None]
+    want = Counter(i for t in texts for x in (t, "last") for i in [*tokenizer.encode(x, add_special_tokens=False).ids, 1])
+    assert len(rows) == 9 and told == rows[-1:] and told[0]["doc_id"] is told[0]["ids"] is None
+    assert {i: n for i, n in enumerate(np.frombuffer(told[0]["counts"], "<i8").tolist()) if n} == want
+    twice = pa.RecordBatch.from_arrays([pa.array([r["counts"] for r in told * 2])], ["counts"])
+    assert {r["id"]: r["n"] for b in token_files._sum_counts([twice]) for r in b.to_pylist()} == {i: 2 * n for i, n in want.items()}
+    assert list(token_files._encode(PATH, 1)([])) == []
+
+
+def test_words_of_letters_and_signs(tokenizer):
+    """Every sign of ASCII and Latin-1 behind, before and between letters, in either case."""
+    signs = [chr(c) for c in range(0x21, 0x100) if not chr(c).isspace()]
+    words = [w for c in signs for w in (c, "a" + c, c + "B", "Caf\xc9" + c, "a" + c + "b", "Ab" + c + ".", "\xdf\xaa" + c + c)]
+    for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder(PATH).encode(w), "<u2").tolist() == e.ids, w
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     coded = [(-(1 << 63) if r[0] is None else r[0], np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u2").tobytes(), r[0]) for r in rows]
